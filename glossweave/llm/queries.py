@@ -5,24 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing
+from . import decontaminate, id_store, language_id, near_dedup, packing, token_counts
+from .storage import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a passage of the benchmark, with the item and how closely it matches."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, found by scanning the flat files that they were written to."""
+    path = new_path(spark, "flat")
+    order = token_counts.write_flat(_table(spark, sf_dir, "documents"), path)
+    counts = token_counts.scan(spark, path, end_id=49407, width=2)
+    return order.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens", "closed")
+
+
+def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    store = id_store.write_store(docs, new_path(spark, "ids"))
+    return id_store.lookup(store, docs, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op3_token_counts": op3_token_counts,
+    "op5_id_store": op5_id_store,
+    "op7_language_id": op7_language_id,
     "op10_near_dedup": op10_near_dedup,
 }
 

@@ -106,3 +106,26 @@ def words(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
         bounds = np.searchsorted(starts, offsets[lo : hi + 1] - offsets[lo])
         yield lo, hi, Words(hashes, bounds, low, starts, ends)
         lo = hi
+
+
+def gathered(parts: Iterator[tuple[int, int, Words]], size: int) -> Iterator[tuple[int, int, Words]]:
+    """What words() yields, in fewer and larger parts of about `size` bytes."""
+    held: list[tuple[int, int, Words]] = []
+
+    def one() -> tuple[int, int, Words]:
+        if len(held) == 1:
+            return held[0]
+        shift = np.cumsum([0, *(len(w.low) for _, _, w in held)])
+        before = np.cumsum([0, *(len(w.hashes) for _, _, w in held)])
+        join = lambda name, by=None: np.concatenate([getattr(w, name) + (0 if by is None else by[i]) for i, (_, _, w) in enumerate(held)])
+        bounds = np.concatenate([[0], *(w.bounds[1:] + before[i] for i, (_, _, w) in enumerate(held))])
+        low = np.concatenate([w.low for _, _, w in held])
+        return held[0][0], held[-1][1], Words(np.concatenate([w.hashes for _, _, w in held]), bounds, low, join("starts", shift), join("ends", shift))
+
+    for part in parts:
+        held.append(part)
+        if sum(len(w.low) for _, _, w in held) >= size:
+            yield one()
+            held.clear()
+    if held:
+        yield one()
