@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, id_store, language_id, near_dedup, packing, token_counts
+from . import decontaminate, id_store, language_id, lm_bloom, near_dedup, packing, token_counts
 from .storage import new_path
 
 
@@ -43,6 +43,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", lm_bloom.held_out(F.col("doc_id")).alias("held_out"))
+    return lm_bloom.score(docs, docs.where("not held_out"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_id_store": op5_id_store,
     "op7_language_id": op7_language_id,
+    "op9_lm_score": op9_lm_score,
     "op10_near_dedup": op10_near_dedup,
 }
 
