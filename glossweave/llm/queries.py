@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, id_store, language_id, lm_bloom, near_dedup, packing, token_counts
+from . import decontaminate, id_store, kdtree, language_id, lm_bloom, near_dedup, packing, token_counts, warc
 from .storage import new_path
 
 
@@ -31,12 +31,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens", "closed")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, resolved = new_path(spark, "warc"), new_path(spark, "warc-resolved")
+    files = warc.write_archives(_table(spark, sf_dir, "pages"), raw)
+    files = warc.resolve(spark, raw, files, resolved)
+    return warc.read_resolved(spark, resolved, files).drop("url")
+
+
 def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     store = id_store.write_store(docs, new_path(spark, "ids"))
     return id_store.lookup(store, docs, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = kdtree.quantised(_table(spark, sf_dir, "embeddings"))
+    return kdtree.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
@@ -56,7 +68,9 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
     "op5_id_store": op5_id_store,
+    "op6_top_k": op6_top_k,
     "op7_language_id": op7_language_id,
     "op9_lm_score": op9_lm_score,
     "op10_near_dedup": op10_near_dedup,
@@ -64,7 +78,27 @@ QUERIES = {
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Base-32 of a SHA-1 that DuckDB has as hexadecimal text: five bytes (ten digits) make eight characters.
+_BASE32 = """list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST(('0x' || substr(sha1(h), 10 * (k // 8) + 1, 10))::BIGINT // (1::BIGINT << (35 - 5 * (k % 8))) % 32 AS INTEGER), 1)), 'string_agg', '')"""
+
 ORACLE_SQL = {
+    "op4_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        o AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+        SELECT page_id, strlen(h) AS payload_bytes, {_BASE32} AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p JOIN o USING (h)""",
+    "op6_top_k": """
+        WITH q AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10""",
     "op10_near_dedup": rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),

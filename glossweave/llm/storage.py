@@ -62,7 +62,7 @@ def write_file(uri: str, parts) -> int:
     system, path = file_system(uri)
     system.create_dir(posixpath.dirname(path), recursive=True)
     hidden, size = posixpath.join(posixpath.dirname(path), f".{uuid.uuid4().hex}"), 0
-    with system.open_output_stream(hidden) as out:
+    with system.open_output_stream(hidden, compression=None) as out:
         for part in parts:
             out.write(part)
             size += len(part)
