@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, id_store, kdtree, language_id, lm_bloom, near_dedup, packing, token_counts, warc
+from . import decontaminate, id_store, kdtree, language_id, lm_bloom, near_dedup, packing, token_counts, url_templates, warc
 from .storage import new_path
 
 
@@ -55,6 +55,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+#: The rules of the URL query.
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", lm_bloom.held_out(F.col("doc_id")).alias("held_out"))
     return lm_bloom.score(docs, docs.where("not held_out"))
@@ -72,6 +80,7 @@ QUERIES = {
     "op5_id_store": op5_id_store,
     "op6_top_k": op6_top_k,
     "op7_language_id": op7_language_id,
+    "op8_url_filter": op8_url_filter,
     "op9_lm_score": op9_lm_score,
     "op10_near_dedup": op10_near_dedup,
 }
