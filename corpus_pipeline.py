@@ -3,22 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glossweave.llm import near_dedup, packing
+from glossweave.llm import decontaminate, language_id, near_dedup, packing
 from glossweave.llm.storage import materialise
 
+#: The least posterior of a document's language with which it stays.
+LEAST_SCORE = 0.5
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: not `und`, and sure enough."""
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return near_dedup.drop_near_duplicates(docs)
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 ids."""
+    """Pieces of all documents, with their ids, in sequences of at most 4096 ids."""
     return packing.pack(docs)
 
 
-STAGES = [("near_dedup", drop_copies), ("packing", pack)]
+STAGES = [("language_id", keep_languages), ("near_dedup", drop_copies), ("decontamination", drop_leaks), ("packing", pack)]
 
 #: Tokenisation and language scores have no SQL form: tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
