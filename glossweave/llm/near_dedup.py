@@ -3,8 +3,9 @@
 1. Every text becomes its set of word shingles (64-bit hashes), a 128-bit digest of that set, `bands` hashes of `rows` universal-hash
    minima each, and one byte of every minimum. Texts with equal sets form a class, which its least row represents from here on.
 2. Two classes that share a band are candidates. A bucket isn't expanded into pairs: its members are compared with one pivot, the
-   member that meets most others over all its bands. Links found so far give components; only pairs of one bucket that are still in
-   different components, and whose set sizes allow the similarity, are compared after that. No bucket is capped.
+   member that meets most others over all its bands. Links found so far give components. Where a bucket still holds several, its
+   members are dealt to blocks of bounded size, and pairs of blocks are compared inside tasks that emit links alone. No bucket is
+   capped.
 3. Candidates whose signatures agree too little are dropped (six standard deviations below the threshold); the others are confirmed
    on the full shingle sets, made again from the texts of candidates only.
 4. Large-star and small-star steps give the components.
@@ -145,10 +146,9 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     return map_arrow(joined, run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """Pairs whose full sets are similar enough. Sets are made from the texts of the classes in `pairs` alone."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    wanted = classes.join(named, "rid", "left_semi").select("rid", "key", F.col("doc_id").alias("wanted_id"))
+def _sets(rids: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """(rid, shingles) of the classes in rids (distinct), made again from the texts of those alone."""
+    wanted = classes.join(rids, "rid", "left_semi").select("rid", "key", F.col("doc_id").alias("wanted_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,23 +160,107 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # a doc_id of several rows brings texts of other sets too (dropped by the digest); equal rows are dropped after
     own = wanted.join(texts, F.col("wanted_id") == F.col("doc_id")).select("rid", "key", "text")
-    own = materialise(map_arrow(own, sets, "rid long, shingles binary").dropDuplicates(["rid"]), "shingles")
+    return map_arrow(own, sets, "rid long, shingles binary").dropDuplicates(["rid"])
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
+    own = materialise(_sets(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), docs, classes, p), "shingles")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(p.least_den * shared >= p.least_num * (len(both) - shared))
+                shared = _shared(x, y)
+                keep.append(p.least_den * shared >= p.least_num * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(own.toDF("b", "right"), "b").join(own.toDF("a", "left"), "a").select("a", "b", "left", "right")
     return map_arrow(joined, similar, "a long, b long")
 
 
+#: Shingles in a block of documents (a document counts for 512 at least).
+_BLOCK = 1 << 18
+
+
+def block_links(sets: list[np.ndarray], sig: np.ndarray, root: np.ndarray, side: np.ndarray, p: Params) -> list[tuple[int, int]]:
+    """Similar pairs of two blocks (side 0 and 1; 2: one block with itself) whose roots differ."""
+    left = np.flatnonzero(side != 1)
+    size = np.array([len(s) for s in sets], np.int64)
+    need, out = p.floor * p.bands * p.rows, []
+    column: np.ndarray | None = None
+    for i in left:
+        right = np.flatnonzero((root != root[i]) & ((side == 1) if side[i] == 0 else np.arange(len(sets)) > i))
+        right = right[p.least_den * np.minimum(size[i], size[right]) >= p.least_num * np.maximum(size[i], size[right])]
+        right = right[(sig[right] == sig[i]).sum(1) >= need]
+        if len(right) > 8:
+            if column is None:
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                order = np.argsort(flat, kind="stable")
+                column, owner = flat[order], owner[order]
+            lo, hi = np.searchsorted(column, sets[i], "left"), np.searchsorted(column, sets[i], "right")
+            total = np.cumsum(hi - lo)
+            shared = np.bincount(owner[np.repeat(lo - total + (hi - lo), hi - lo) + np.arange(total[-1])], minlength=len(sets))[right]
+        else:
+            shared = np.array([_shared(sets[i], sets[j]) for j in right], np.int64)
+        out += [(i, j) for j in right[p.least_den * shared >= p.least_num * (size[i] + size[right] - shared)]]
+    return out
+
+
+def _between(rest: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """All links between members (rid, root, n_shingles) of one bucket, named by its head, whose roots differ.
+
+    Buckets that share members are one group. A group's members are dealt to blocks of bounded size, those of a large root to blocks of
+    its own, and each pair of blocks that can hold different roots is compared inside one task. Only links leave it."""
+    group = components(rest.where("rid <> head").select(F.col("rid").alias("a"), F.col("head").alias("b"))).toDF("rid", "grp")
+    named = rest.select("rid", "root", "n_shingles").distinct().join(group, "rid")
+    weight = F.sum(F.greatest("n_shingles", F.lit(512))).alias("weight")
+    by_root = named.groupBy("grp", "root").agg(weight).withColumn("own", F.col("weight") > _BLOCK)
+    small = by_root.where("not own").groupBy("grp").agg(F.sum("weight").alias("small"))
+    plan = by_root.join(small, "grp", "left").select("grp", "root", "own", F.ceil(F.when(F.col("own"), F.col("weight")).otherwise(F.col("small")) / _BLOCK).alias("k"))
+    members = named.join(plan, ["grp", "root"]).withColumn("owner", F.when(F.col("own"), F.col("root")).otherwise(-1)).withColumn("n", F.pmod(F.xxhash64(F.when(F.col("own"), F.col("rid")).otherwise(F.col("root"))), F.col("k")))
+    members = materialise(members.select("rid", "root", "grp", "owner", "n"), "blocks")
+    blocks = members.select("grp", "owner", "n").distinct()
+    other = blocks.select("grp", F.col("owner").alias("owner2"), F.col("n").alias("n2"))
+    ordered = F.struct("owner", "n") <= F.struct(F.col("owner2").alias("owner"), F.col("n2").alias("n"))
+    tasks = blocks.join(other, "grp").where(ordered & ((F.col("owner") != F.col("owner2")) | (F.col("owner") == -1)))
+    tasks = tasks.withColumn("task", F.xxhash64("grp", "owner", "n", "owner2", "n2"))
+    same = (F.col("owner") == F.col("owner2")) & (F.col("n") == F.col("n2"))
+    first = tasks.select("grp", "owner", "n", "task", F.when(same, 2).otherwise(0).alias("side"))
+    second = tasks.where(~same).select("grp", F.col("owner2").alias("owner"), F.col("n2").alias("n"), "task", F.lit(1).alias("side"))
+    sets = materialise(_sets(members.select("rid").distinct(), docs, classes, p).join(classes.select("rid", "sig"), "rid"), "shingles")
+    given = members.join(sets, "rid").join(first.unionByName(second), ["grp", "owner", "n"]).select("task", "side", "rid", "root", "sig", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            side, rid, root, sig, raw = zip(*held, strict=True)
+            held.clear()
+            found = block_links([np.frombuffer(x, np.uint64) for x in raw], np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), np.array(root), np.array(side), p)
+            return pa.RecordBatch.from_arrays([pa.array([min(rid[i], rid[j]) for i, j in found], pa.int64()), pa.array([max(rid[i], rid[j]) for i, j in found], pa.int64())], ["a", "b"])
+
+        now = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                for task, *row in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                    if now is not None and task != now:
+                        yield flush()
+                    now = task
+                    held.append(tuple(row))
+        if held:
+            yield flush()
+
+    return map_arrow(given.repartition("task").sortWithinPartitions("task"), run, "a long, b long")
+
+
 def link(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(rid, doc_id, n_shingles, component_id, first) of every row; first: the one row of its component to keep."""
     rows = materialise(_profiles(docs, p), "profiles")
@@ -195,16 +279,12 @@ def link(docs: DataFrame, p: Params = Params()) -> DataFrame:
     links = materialise(_confirmed(tried, docs, classes, p), "links")
     roots = materialise(components(links), "roots")
 
-    # what a star can't show: pairs of one bucket that no chain of links joins yet
+    # what a star can't show: links between members of one bucket that no chain of links joins yet
     labelled = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    open_ = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = materialise(labelled.join(open_, "band").select("band", "rid", "n_shingles", "root"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.root") != F.col("y.root")) & close(F.col("x.n_shingles"), F.col("y.n_shingles")))
-    across = across.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialise(_agreeing(across, classes, p), "across")
-    if not more.isEmpty():
-        links = links.unionByName(materialise(_confirmed(more, docs, classes, p), "links"))
+    open_ = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rid").alias("head")).where("lo < hi").select("band", "head")
+    rest = materialise(labelled.join(open_, "band").select("rid", "root", "n_shingles", "head"), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(materialise(_between(rest, docs, classes, p), "links"))
         roots = materialise(components(links), "roots")
 
     # class -> component -> least doc_id
