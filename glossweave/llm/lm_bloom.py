@@ -262,8 +262,13 @@ def score(docs: DataFrame, trained_on: DataFrame, p: Params = Params()) -> DataF
         if reached + n > p.hot:
             break
         reached, level = reached + n, k
-    hot = sorted((r["h"] & (1 << 64) - 1, r["c"]) for r in vocabulary.where(F.floor(F.log2("c") * 8) >= level).collect()) if level is not None else []
-    known = spark.sparkContext.broadcast((np.array([h for h, _ in hot], np.uint64), np.array([c for _, c in hot], np.int64)))
+    hot_h, hot_c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if level is not None:
+        hot = vocabulary.where(F.floor(F.log2("c") * 8) >= level).toArrow()
+        hot_h, hot_c = hot.column("h").to_numpy().view(np.uint64), hot.column("c").to_numpy()
+        order = np.argsort(hot_h)
+        hot_h, hot_c = hot_h[order], hot_c[order]
+    known = spark.sparkContext.broadcast((hot_h, hot_c))
     groups: list[list[int]] = [[]]
     held = 0
     for r in model.select("bucket", F.length("bits").alias("n")).orderBy("bucket").collect():
@@ -275,9 +280,11 @@ def score(docs: DataFrame, trained_on: DataFrame, p: Params = Params()) -> DataF
 
     given = docs.select(F.lit(None).cast("long").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("held_out").cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("levels"))
     for number, group in enumerate(groups):
-        parts = {r["bucket"]: r["bits"] for r in model.where(F.col("bucket").isin(group)).select("bucket", "bits").collect()}
-        shared = spark.sparkContext.broadcast(({b: len(x) for b, x in parts.items()}, b"".join(parts.values())))
-        del parts
+        # as Arrow: rows of Python objects would hold the filter several times at the driver
+        table = model.where(F.col("bucket").isin(group)).select("bucket", "bits").toArrow()
+        bits = [x.as_buffer() for x in table.column("bits")]
+        shared = spark.sparkContext.broadcast((dict(zip(table.column("bucket").to_pylist(), map(len, bits), strict=True)), b"".join(bits)))
+        del table, bits
         last = number == len(groups) - 1
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last, number=number) -> Iterator[pa.RecordBatch]:
