@@ -106,7 +106,7 @@ class PerfectHash:
 
     @staticmethod
     def _bit(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level + 1) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(size)).astype(np.int64)
+        return (mix(keys + np.uint64((level + 1) * 0xD6E8FEB86659FD93 % 2**64)) % np.uint64(size)).astype(np.int64)
 
     @classmethod
     def build(cls, keys: np.ndarray, spread: float = 2.0) -> PerfectHash:
