@@ -180,10 +180,6 @@ def sorted_tokens(norm: Column) -> Column:
     return F.array_join(F.array_sort(F.split(norm, " ")), " ")
 
 
-def same_but_numbers(a: Column, b: Column) -> Column:
-    return F.regexp_replace(a, "[0-9]+", "#") == F.regexp_replace(b, "[0-9]+", "#")
-
-
 def similarity(a: Column, b: Column, least: float) -> Column:
     """1 - distance / longer length; 0 if the distance is over what `least` allows."""
     longer = F.greatest(F.length(a), F.length(b))
