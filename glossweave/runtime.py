@@ -11,10 +11,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: with long texts the default of 10,000 fills a Python worker with copies of one batch.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once an application, so that functions pickled by name are found there."""
+    """Send this package's source to the executors, once an application, so that functions pickled by name are found there.
+
+    Also bounds the Arrow batches of a session that has left their size at its default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
