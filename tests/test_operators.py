@@ -37,7 +37,7 @@ def test_fuzzy_options_and_empty(spark):
 
 
 def test_rarest_feature_when_all_are_common(spark):
-    posted = spark.createDataFrame([(n, f"w:{w}", i, 9 if w != "z" else 8) for n in (1, 2) for i, w in enumerate("yz")] + [(3, "w:y", 0, 9)], "node long, feature string, place int, n long")
+    posted = spark.createDataFrame([(n, f"w:{w}", i, 9 if w != "z" else 8, 5) for n in (1, 2) for i, w in enumerate("yz")] + [(3, "w:y", 0, 9, 5)], "node long, feature string, place int, n long, size int")
     assert [tuple(r) for r in redundancy.candidate_pairs(posted, 5).collect()] == [(1, 2)]
 
 
