@@ -33,7 +33,7 @@ class Encoder:
     (byte-level file) with runs of mixed white space are encoded whole, as are all texts of other tokenizer files.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -222,7 +222,7 @@ class Encoder:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, most: int = 300_000) -> Encoder:
+def encoder(path: str, most: int = 800_000) -> Encoder:
     """One Encoder a Python worker and file."""
     if (path, most) not in _encoders:
         _encoders[path, most] = Encoder(path, most)
