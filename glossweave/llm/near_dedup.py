@@ -18,17 +18,18 @@ other columns of the input are untouched, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import map_arrow
+from ..runtime import map_arrow, ship
 from .components import components
 from .storage import materialise
 from .text import mix, words
@@ -132,6 +133,28 @@ def _profiles(docs: DataFrame, p: Params) -> DataFrame:
     return map_arrow(given, run, "rid long, doc_id long, n_shingles long, key binary, bands array<long>, sig binary")
 
 
+#: Places of a membership bitmap: its size doesn't depend on the number of ids.
+_PLACES = 1 << 23
+
+
+def _perhaps(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of ids (doc_id) by a bitmap of their hashes: never false for one of them, seldom true for others.
+
+    It keeps rows that a join would drop anyway out of the join's shuffle, texts above all."""
+    ship(ids.sparkSession)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_PLACES))
+    bits = np.zeros(_PLACES, bool)
+    bits[ids.select(place(F.col("doc_id")).alias("place")).distinct().toArrow().column("place").to_numpy()] = True
+    shared = ids.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        table, n = np.frombuffer(shared.value, np.uint8), at.to_numpy()
+        return pd.Series((table[n >> 3] >> (7 - (n & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: held(place(c))
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b) of classes whose signatures agree in enough bytes."""
     need = p.floor * p.bands * p.rows
@@ -157,7 +180,8 @@ def _sets(rids: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> Da
                 keep = [i for i, (s, k) in enumerate(zip(found, batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True)) if digest(s) == k]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["rid", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    texts = texts.where(_perhaps(wanted.select(F.col("wanted_id").alias("doc_id")))(F.col("doc_id")))
     # a doc_id of several rows brings texts of other sets too (dropped by the digest); equal rows are dropped after
     own = wanted.join(texts, F.col("wanted_id") == F.col("doc_id")).select("rid", "key", "text")
     return map_arrow(own, sets, "rid long, shingles binary").dropDuplicates(["rid"])
@@ -310,5 +334,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of docs but for all except one of each group; all columns stay. Rows without doc_id stay."""
     gone = link(docs, p).where("doc_id is not null").groupBy("doc_id").agg(F.max("first").alias("stays")).where(~F.col("stays")).select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    gone = materialise(gone, "gone")
+    # most rows surely stay and needn't be shuffled
+    maybe = F.coalesce(_perhaps(gone)(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.lit(False)) & F.col("doc_id").isNotNull()
+    marked = docs.withColumn("__maybe_gone", maybe)
+    doubtful = marked.where("__maybe_gone").join(gone.select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return marked.where("not __maybe_gone").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
