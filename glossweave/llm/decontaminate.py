@@ -1,7 +1,9 @@
 """Operator 1: benchmark decontamination by the q-gram lemma.
 
 Texts are compared as lower-cased runs of letters and digits with single spaces, in UTF-8 bytes. Every benchmark item is cut into
-windows (a whole item if it is shorter). A window with k edits allowed and w bytes shares at least w + 1 - q(k + 1) of its q-grams
+windows (a whole item if it is shorter): long ones for passages with many edits, and short ones, so close that every passage of
+`passage` bytes of an item holds a whole one. So each verbatim passage of that length is a leak wherever it lies in its item, and so
+is one with few enough edits inside such a window; of shorter passages those are found that hold a window. A window with k edits allowed and w bytes shares at least w + 1 - q(k + 1) of its q-grams
 with a passage that matches it, and all of them lie on k + 1 neighbouring diagonals. So q-gram hits are counted in bands of `band`
 diagonals that overlap by k; bands that reach the bound are aligned with the window by banded dynamic programming, and those within k
 edits are leaks.
@@ -38,6 +40,9 @@ class Params:
     q: int = 10
     window: int = 100
     stride: int = 50
+    #: Bytes of the shortest passage that is always found, and the stride of the windows cut for it.
+    passage: int = 75
+    passage_stride: int = 20
     #: Edits a window may have, as a share of its bytes.
     error: float = 0.08
     band: int = 16
@@ -45,6 +50,14 @@ class Params:
     #: Bytes of benchmark text in one broadcast.
     block: int = 4_000_000
 
+    def cuts(self, size: int) -> list[tuple[int, int]]:
+        """(begin, bytes) of the windows of an item; every run of `passage` bytes of a longer item holds a whole one."""
+        out = {}
+        for window, stride in ((self.window, self.stride), (self.passage - self.passage_stride + 1, self.passage_stride)):
+            last = max(0, size - window)
+            out |= dict.fromkeys((at, min(window, size)) for at in sorted({*range(0, last, stride), last}))
+        return list(out)
+
     def edits(self, size: int) -> int:
         """As many as `error` allows while the lemma still asks for one shared q-gram."""
         return max(0, min(int(self.error * size), (size - self.q) // self.q))
@@ -89,9 +102,8 @@ class Index:
             text = _normal([raw])[0][16:-16].tobytes().strip()
             if len(text) < max(p.least, p.q):
                 continue
-            last = max(0, len(text) - p.window)
-            for at in sorted({*range(0, last, p.stride), last}):
-                windows.append(np.frombuffer(text[at : at + p.window], np.uint8))
+            for at, size in p.cuts(len(text)):
+                windows.append(np.frombuffer(text[at : at + size], np.uint8))
                 owner.append(n)
                 self.counts[n] += 1
         self.owner = np.array(owner, np.int64)

@@ -156,6 +156,21 @@ def test_leaks(spark):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0 and decontaminate.leaks(df.limit(0), bench).count() == 0
 
 
+def test_leaks_of_partial_passages(spark):
+    r = random.Random(9)
+    for size in (80, 99, 150, 250):
+        item = passage(r, 60)[: size - 1] + "z"
+        index = decontaminate.Index([(1, item)], decontaminate.Params())
+        for n in (75, 92, 110):
+            for at in range(size - n + 1):
+                texts = [f"{passage(r, 20)}q{item[at : at + n]}q{passage(r, 20)}", passage(r, 60)]
+                assert [t for t, *_ in decontaminate._search_all(index, texts)] == [0], (size, n, at)
+    item = passage(r, 60)[:249] + "z"
+    docs = spark.createDataFrame([(1, f"{passage(r)} {item[15:125]} {passage(r)}"), (2, passage(r, 90))], "doc_id long, text string")
+    clean = decontaminate.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert [x["doc_id"] for x in clean.collect()] == [2]
+
+
 def test_alignment_equals_edit_distance():
     p = decontaminate.Params()
     r = random.Random(2)
