@@ -77,6 +77,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redundancy.fuzzy_nodes(part.select(k.cast("string").alias("key"), value.alias("value"), k.alias("ord")))
 
 
+def sentence_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, norm: distinct normal forms of all sentences of all documents; a node is the place of its first sentence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[.\n]+")).alias("at", "value"))
+    first = docs.groupBy("value").agg(F.min(F.shiftleft("doc_id", 24) + F.col("at")).alias("ord"))
+    return redundancy.fuzzy_nodes(first.select(F.col("ord").cast("string").alias("key"), "value", "ord"))
+
+
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
 
@@ -160,6 +167,27 @@ def fuzzy_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redundancy.fuzzy_components(written(redundancy.fuzzy_edges(own, pairs_), "edges"))
 
 
+def sentence_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redundancy.postings(sentence_nodes(spark, sf_dir)).groupBy("feature").agg(F.count("*").alias("n_nodes"))
+
+
+def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redundancy.candidate_pairs(written(redundancy.postings(sentence_nodes(spark, sf_dir)), "postings"))
+
+
+def _sentence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(sentence_nodes(spark, sf_dir), "nodes")
+    return redundancy.fuzzy_edges(own, redundancy.candidate_pairs(written(redundancy.postings(own), "postings"), threshold=0.85))
+
+
+def sentence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentence_edges(spark, sf_dir).select("a", "b", T.round_half_up(F.col("similarity"), 6).alias("similarity"))
+
+
+def sentence_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redundancy.fuzzy_components(written(_sentence_edges(spark, sf_dir), "edges"))
+
+
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = decorated_strings(spark, sf_dir)
     return redundancy.summary(own, redundancy.find_duplicates(own), redundancy.find_variants(own), None)
@@ -278,7 +306,8 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     exact_duplicates, variant_groups, variant_kind_counts, normalised_values, masked_placeholders, strip_placeholders, invariant_values,
-    blocking_postings, candidate_pairs, fuzzy_edges, fuzzy_components, scan_summary, missing_keys, missing_counts, string_literals,
+    blocking_postings, candidate_pairs, fuzzy_edges, fuzzy_components, sentence_postings, sentence_pairs,
+    sentence_edges, sentence_components, scan_summary, missing_keys, missing_counts, string_literals,
     unused_keys, words_tokens, lemmas, ngram_df, term_list, subsumed_terms, locale_plan, align_requests, align_results,
     term_locale_stats, term_tiers, glossary_estimate, glossary_rank, cosine_matrix, mutual_argmax, json_flatten, locale_codes, cache_keys,
 )}
