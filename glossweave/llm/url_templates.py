@@ -1,9 +1,11 @@
 """Operator 8: URL filtering by rules and a tree of path templates per host.
 
 A path's segments are generalised first by their form (runs of digits and long hexadecimal runs become marks), so that a host's rows
-become a much smaller set of shapes with counts. The tree is then settled level by level: a node's rare children become one wildcard
-branch when there are many of them (a variable segment), and so do children whose labelled share of blocked URLs can't be told from
-the node's (similar branches, a two-proportion z-test). Every node has the purity
+become a much smaller set of shapes with counts. The tree is then settled level by level: children whose
+labelled share of blocked URLs can't be told from the node's become one wildcard branch (similar branches, a two-proportion z-test),
+and so do a node's rare children when there are many of them (a variable segment), unless a rare child's labels are too many and too
+different for chance even in the largest of that many draws (Chernoff's bound, times the number of children). So a branch that differs
+keeps its node however small its share is, and the odd label of a variable segment makes none. Every node has the purity
 
     (blocked + m * purity of its parent) / (labelled + m)
 
@@ -31,9 +33,11 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Params:
     depth: int = 4
-    #: A node with more children than `fan` gives up those with fewer than `rare` of its URLs.
+    #: A node with more children than `fan` gives up those with fewer than `rare` of its URLs, unless one as different as they are
+    #: has less than this chance to be among so many.
     fan: int = 20
     rare: float = 0.02
+    chance: float = 0.05
     #: Standard errors by which a branch must differ from its node to stay by itself.
     differ: float = 1.96
     weight: float = 4.0
@@ -66,6 +70,12 @@ def shape_of(path: Column, depth: int) -> Column:
     return F.transform(cut, form)
 
 
+def divergence(own: Column, share: Column) -> Column:
+    """Kullback-Leibler divergence of two shares, 0 < share < 1."""
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    return part(own, share) + part(1 - own, 1 - share)
+
+
 def purities(urls: DataFrame, p: Params = Params()) -> DataFrame:
     """host, shape, template, purity of all shapes in urls (host, shape, label): label 1 blocked, 0 allowed, null unknown."""
     label = F.col("label")
@@ -87,7 +97,8 @@ def purities(urls: DataFrame, p: Params = Params()) -> DataFrame:
         share = F.col("all_bad") / F.col("all_known")
         error = F.sqrt(share * (1 - share) / F.col("known"))
         differs = (F.col("known") > 0) & (error > 0) & (F.abs(F.col("bad") / F.col("known") - share) >= p.differ * error)
-        rare = (F.col("children") > p.fan) & (F.col("n") < p.rare * F.col("all_n"))
+        by_chance = 2 * F.col("children") * F.exp(-F.col("known") * divergence(F.col("bad") / F.col("known"), share))
+        rare = (F.col("children") > p.fan) & (F.col("n") < p.rare * F.col("all_n")) & (by_chance >= p.chance)
         branch = F.when(F.col("segment") == "", F.lit("")).when(differs & ~rare, F.col("segment")).otherwise(F.lit("*"))
         settled = children.join(nodes, ["host", "template"]).select("host", "template", "segment", branch.alias("branch"), "known", "bad")
         merged = settled.groupBy("host", "template", "branch").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))

@@ -99,6 +99,17 @@ def test_templates_learn_a_bad_branch(spark):
     assert 0.2 < got["other", "bad"][1] < 0.8
 
 
+def test_rare_branches_that_differ_keep_their_node(spark):
+    rows = [("h", ["fr", "{n}"], 0)] * 600 + [("h", ["de", "{n}"], 1)] * 30 + [("h", [f"s{i}", "{n}"], None) for i in range(23) for _ in range(59)]
+    rows += [("v", [f"slug{i}"], int(i % 10 == 0)) for i in range(300)] + [("v", ["new"], None)]
+    df = spark.createDataFrame(rows, "host string, shape array<string>, label int")
+    got = {(r["host"], r["shape"][0]): (r["template"], r["purity"]) for r in url_templates.purities(df).collect()}
+    assert got["h", "de"][0].startswith("/de/") and got["h", "de"][1] > 0.8
+    assert got["h", "fr"][1] < 0.1 and all(got["h", f"s{i}"][1] < 0.2 for i in range(23))
+    # one label each tells nothing: the slugs stay one variable segment with the share of all
+    assert {got["v", f"slug{i}"][0] for i in range(300)} == {"/*"} and 0.05 < got["v", "new"][1] < 0.15
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
