@@ -69,6 +69,16 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.explode(F.split("text", r"[.\n]+")).alias("value")).where(F.col("value").rlike("^[ -~]+$")).distinct()
 
 
+def all_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """value: distinct sentences of all documents, in any language and script."""
+    return table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[.\n]+")).alias("value")).distinct()
+
+
+def text_word_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word: every word of the whole text of every document."""
+    return table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word"))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, norm: distinct normal forms of the part names with a changed letter here and there."""
     part = table(spark, sf_dir, "part")
@@ -94,6 +104,12 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(spark.createDataFrame([("</p>", -1), ("utf-8", -2), ("/The", -3), ("ad", -4)], "key string, ord long"))
 
 
+def all_page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, ord: words that pages have as literals, and all part keys, which they don't have."""
+    found = part_strings(spark, sf_dir).select(F.concat(F.lit("/p"), "key").alias("key"), "ord")
+    return found.unionByName(spark.createDataFrame([("</p>", -1), ("utf-8", -2), ("/The", -3), ("ad", -4)], "key string, ord long"))
+
+
 def similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair, i, j, s: cosines of even against odd vectors of a label."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
@@ -233,6 +249,28 @@ def subsumed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.subsumed(terms.candidates(counts, terms.seed_ids(spark, []), 2))
 
 
+def all_key_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completeness.key_usage(all_page_keys(spark, sf_dir), code(spark, sf_dir)).select("key", "status")
+
+
+def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_word_uses(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def text_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_word_uses(spark, sf_dir).distinct().select("word", T.lemma(F.col("word")).alias("lemma"))
+
+
+def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = terms.extract_terms(all_sentences(spark, sf_dir), ["Thisword neverseen"], 3)
+    return found.select("id", "df", "seeded", "label_share")
+
+
+def text_subsumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = written(terms.gram_counts(terms.gram_uses(all_sentences(spark, sf_dir))), "counts")
+    return terms.subsumed(terms.candidates(counts, terms.seed_ids(spark, []), 2))
+
+
 def locale_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings, _ = two_locales(spark, sf_dir)
     twin = strings.where("locale = 'de'").withColumn("locale", F.lit("de-at"))
@@ -308,7 +346,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     exact_duplicates, variant_groups, variant_kind_counts, normalised_values, masked_placeholders, strip_placeholders, invariant_values,
     blocking_postings, candidate_pairs, fuzzy_edges, fuzzy_components, sentence_postings, sentence_pairs,
     sentence_edges, sentence_components, scan_summary, missing_keys, missing_counts, string_literals,
-    unused_keys, words_tokens, lemmas, ngram_df, term_list, subsumed_terms, locale_plan, align_requests, align_results,
+    unused_keys, all_key_usage, words_tokens, text_words, lemmas, text_lemmas, ngram_df, term_list, text_terms, subsumed_terms, text_subsumed, locale_plan, align_requests, align_results,
     term_locale_stats, term_tiers, glossary_estimate, glossary_rank, cosine_matrix, mutual_argmax, json_flatten, locale_codes, cache_keys,
 )}
 
@@ -378,6 +416,12 @@ _COSINES = """s AS (SELECT a.label AS pair, a.vec_id AS i, b.vec_id AS j,
     FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a JOIN (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b
     ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)"""
 
+#: Words and lemmas of any text: without placeholders, and with typographic apostrophes.
+_ALL_SENTENCES = r"v AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[.\n]+')) AS value FROM documents)"
+_ALL_WORDS = rf"""regexp_extract_all({_CLEAN}, '[\p{{L}}\p{{N}}\p{{M}}]+(?:[''’\-][\p{{L}}\p{{N}}\p{{M}}]+)*')"""
+_ALL_LOWER = "replace(lower({0}), '’', '''')"
+_TEXT_WORDS = f"t AS (SELECT unnest({_ALL_WORDS}) AS word FROM (SELECT text AS value FROM documents))"
+
 ORACLE_SQL: dict[str, str] = {
     "exact_duplicates": "SELECT p_name AS value, n AS n_keys, CAST(p_partkey AS VARCHAR) AS key FROM (SELECT *, count(*) OVER (PARTITION BY p_name) AS n FROM part) WHERE n > 1 AND trim(p_name) <> ''",
     "variant_groups": f"""WITH {_STAGED}, k AS (SELECT norm, count(DISTINCT value) AS a, count(DISTINCT white) AS b, count(DISTINCT low) AS c FROM s GROUP BY norm HAVING count(DISTINCT value) > 1)
@@ -427,3 +471,12 @@ ORACLE_SQL: dict[str, str] = {
     "locale_codes": "SELECT n_nationkey, CASE WHEN regexp_full_match(n_name, '[A-Za-z]{2,3}([-_][A-Za-z0-9]{2,8})*') THEN lower(replace(n_name, '_', '-')) END AS locale FROM nation",
     "cache_keys": "SELECT DISTINCT p_name AS src, p_type AS tgt, sha1(concat_ws(chr(31), '3', 'bert-base-multilingual-cased', '8', 'itermax', 'de', p_name, p_type)) AS k FROM part",
 }
+
+ORACLE_SQL |= {
+    "text_words": f"WITH {_TEXT_WORDS} SELECT word, count(*) AS n FROM t GROUP BY word",
+    "text_lemmas": f"WITH {_TEXT_WORDS}, u AS (SELECT DISTINCT word, {_ALL_LOWER.format('word')} AS w FROM t) SELECT word, {_LEMMA} AS lemma FROM u",
+    # the statements of the narrower queries, over all rows
+    "text_terms": ORACLE_SQL["term_list"].replace(_SENTENCES, _ALL_SENTENCES).replace(_WORDS, _ALL_WORDS).replace("lower(x)", _ALL_LOWER.format("x")),
+    "all_key_usage": ORACLE_SQL["unused_keys"].replace(" WHERE p_partkey % 2 = 0", ""),
+}
+ORACLE_SQL["text_subsumed"] = ORACLE_SQL["text_terms"].partition("SELECT id, df, false")[0].replace("df >= 3", "df >= 2") + "SELECT id FROM x"

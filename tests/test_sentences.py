@@ -89,3 +89,18 @@ def test_sentence_queries(spark, corpus):
         x, y = sorted((find(a), find(b)))
         parent[y] = x
     assert {x["node"]: x["root"] for x in queries.sentence_components(spark, folder).collect()} == {n: find(n) for n in parent}
+
+
+def test_words_of_whole_texts(spark, corpus):
+    folder, _ = corpus
+    texts = [x["text"] or "" for x in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = Counter(w for t in texts for w in "".join(c if c.isalnum() else " " for c in t).split())
+    assert want["BRÜCKE"] > 100 and want["été"] > 100
+    assert {x["word"]: x["n"] for x in queries.text_words(spark, folder).collect()} == want
+    assert {x["word"] for x in queries.text_lemmas(spark, folder).collect()} == set(want)
+    assert "brücke" in {x["id"] for x in queries.text_terms(spark, folder).collect()}
+
+
+def test_all_part_keys(spark):
+    sf = "/root/testdata/sf0.001"
+    assert queries.all_page_keys(spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count() + 4
