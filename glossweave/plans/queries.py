@@ -209,6 +209,11 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redundancy.summary(own, redundancy.find_duplicates(own), redundancy.find_variants(own), None)
 
 
+def full_scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = decorated_strings(spark, sf_dir)
+    return redundancy.summary(own, redundancy.find_duplicates(own), redundancy.find_variants(own), redundancy.find_fuzzy(own))
+
+
 def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings, codes = two_locales(spark, sf_dir)
     return completeness.find_missing(strings, codes, "en").drop("ord")
@@ -345,7 +350,7 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     exact_duplicates, variant_groups, variant_kind_counts, normalised_values, masked_placeholders, strip_placeholders, invariant_values,
     blocking_postings, candidate_pairs, fuzzy_edges, fuzzy_components, sentence_postings, sentence_pairs,
-    sentence_edges, sentence_components, scan_summary, missing_keys, missing_counts, string_literals,
+    sentence_edges, sentence_components, scan_summary, full_scan_summary, missing_keys, missing_counts, string_literals,
     unused_keys, all_key_usage, words_tokens, text_words, lemmas, text_lemmas, ngram_df, term_list, text_terms, subsumed_terms, text_subsumed, locale_plan, align_requests, align_results,
     term_locale_stats, term_tiers, glossary_estimate, glossary_rank, cosine_matrix, mutual_argmax, json_flatten, locale_codes, cache_keys,
 )}
@@ -475,6 +480,16 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL |= {
     "text_words": f"WITH {_TEXT_WORDS} SELECT word, count(*) AS n FROM t GROUP BY word",
     "text_lemmas": f"WITH {_TEXT_WORDS}, u AS (SELECT DISTINCT word, {_ALL_LOWER.format('word')} AS w FROM t) SELECT word, {_LEMMA} AS lemma FROM u",
+    "full_scan_summary": f"""WITH RECURSIVE {_STAGED}, {_EDGES.replace('FROM z)', 'FROM d)')}, ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+        r AS (SELECT DISTINCT a, a AS b FROM ways UNION SELECT r.a, ways.b FROM r JOIN ways ON r.b = ways.a), m AS (SELECT a AS node, min(b) AS root FROM r GROUP BY a),
+        fuzzy AS (SELECT nodes.norm, root FROM m JOIN nodes USING (node)), x AS (SELECT key, norm, value, count(*) OVER (PARTITION BY value) > 1 AS d FROM s),
+        v AS (SELECT norm FROM s GROUP BY norm HAVING count(DISTINCT value) > 1),
+        y AS (SELECT *, norm IN (SELECT norm FROM v) AS v, norm IN (SELECT norm FROM fuzzy) AS f FROM x)
+        SELECT count(*) FILTER (d) AS duplicate_keys, count(*) FILTER (v) AS variant_keys, count(*) FILTER (f) AS fuzzy_keys, count(*) FILTER (d OR v) AS duplicate_or_variant_keys,
+        count(*) FILTER (d OR v OR f) AS redundant_keys, count(DISTINCT CASE WHEN d THEN value END) AS duplicate_groups, (SELECT count(*) FROM v) AS variant_groups,
+        (SELECT count(DISTINCT root) FROM fuzzy) AS fuzzy_groups, count(*) AS source_keys, count(*) - count(DISTINCT norm) AS collapsible_keys,
+        floor(CAST(count(*) FILTER (d OR v) AS DOUBLE) / count(*) * 100 * 10 + 0.5) / 10.0::DOUBLE AS duplicate_or_variant_percent,
+        floor(CAST(count(*) FILTER (d OR v OR f) AS DOUBLE) / count(*) * 100 * 10 + 0.5) / 10.0::DOUBLE AS redundant_percent FROM y""",
     # the statements of the narrower queries, over all rows
     "text_terms": ORACLE_SQL["term_list"].replace(_SENTENCES, _ALL_SENTENCES).replace(_WORDS, _ALL_WORDS).replace("lower(x)", _ALL_LOWER.format("x")),
     "all_key_usage": ORACLE_SQL["unused_keys"].replace(" WHERE p_partkey % 2 = 0", ""),

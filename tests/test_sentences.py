@@ -104,3 +104,11 @@ def test_words_of_whole_texts(spark, corpus):
 def test_all_part_keys(spark):
     sf = "/root/testdata/sf0.001"
     assert queries.all_page_keys(spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count() + 4
+
+
+def test_full_scan_counts_near_duplicates(spark, tmp_path):
+    names = ["green delivery note"] * 4 + ["green delivery notes", "two words", "blue pallet", "red pallet exchange"]
+    spark.createDataFrame(list(enumerate(names, 3)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    [row] = queries.full_scan_summary(spark, str(tmp_path)).collect()
+    assert (row["fuzzy_keys"], row["fuzzy_groups"], row["redundant_keys"], row["redundant_percent"]) == (5, 1, 5, 62.5)
+    assert row["duplicate_or_variant_keys"] == 4
