@@ -3,7 +3,8 @@
 Records are WARC/1.1 gzip members, one file a partition. Resolution reads headers alone, shuffles them by payload digest (combined to
 one row a digest and task first), makes the record of the least page_id among equal payloads the original, joins the others to it, and
 writes archives anew, file by file: originals keep their payload, the others become revisit records with fresh headers that name the
-original. Payloads are never shuffled. Reading back joins revisits to their originals by record ID.
+original. Revisit records of the input stay revisits: they name what the record that they refer to has become, or else the original of
+their digest; one whose original isn't in the input keeps its reference. Payloads are never shuffled. Reading back joins revisits to their originals by record ID.
 
 Cases: a null html is an empty payload; equal payloads of fewer bytes than `least` stay responses; a null page_id comes after all
 others and is null in what refers to it; repeated rows are records of their own (which of several equal page_ids is the original is
@@ -67,7 +68,7 @@ def response(record_id: str, page_id: int | None, url: str | None, date: str, pa
     )
 
 
-def revisit(record_id: str, page_id: int | None, url: str | None, date: str, digest: str, original_id: str, original_url: str | None) -> bytes:
+def revisit(record_id: str, page_id: int | None, url: str | None, date: str, digest: str, original_id: str | None, original_url: str | None, original_date: str | None = None) -> bytes:
     return record(
         {
             "WARC-Type": "revisit",
@@ -75,9 +76,9 @@ def revisit(record_id: str, page_id: int | None, url: str | None, date: str, dig
             "WARC-Date": date,
             "WARC-Target-URI": url,
             "WARC-Profile": PROFILE,
-            "WARC-Refers-To": f"<{original_id}>",
+            "WARC-Refers-To": None if original_id is None else f"<{original_id}>",
             "WARC-Refers-To-Target-URI": original_url,
-            "WARC-Refers-To-Date": date,
+            "WARC-Refers-To-Date": original_date or date,
             "WARC-Payload-Digest": f"sha1:{digest}",
             "X-Page-ID": None if page_id is None else str(page_id),
             "Content-Type": "application/http; msgtype=response",
@@ -126,7 +127,7 @@ def _header(file: str, place: int, fields: dict[str, str], block: bytes, check:
         fields.get("WARC-Target-URI"),
         digest,
         None if payload is None else len(payload),
-        fields["WARC-Refers-To"][1:-1] if kind == "revisit" else None,
+        fields.get("WARC-Refers-To", "")[1:-1] or None if kind == "revisit" else None,
     )
 
 
@@ -182,12 +183,21 @@ def read_headers(spark: SparkSession, path: str, files: DataFrame, check: bool =
 
 def resolve(spark: SparkSession, path: str, files: DataFrame, to: str, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write the archives of a folder again, without repeated payloads, to another. Returns file, records."""
-    headers = materialise(read_headers(spark, path, files).where("record_type = 'response'"), "headers")
+    everything = materialise(read_headers(spark, path, files).where("record_type in ('response', 'revisit')"), "headers")
+    headers = everything.where("record_type = 'response'")
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "file", "place", "record_id", "url")
     groups = headers.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     joined = headers.join(groups, ["digest", "payload_bytes"], "left")
     other = F.col("first").isNotNull() & (F.col("first.record_id") != F.col("record_id"))
-    decided = joined.select("file", "place", F.when(other, F.col("first.record_id")).alias("original_id"), F.when(other, F.col("first.url")).alias("original_url"))
+    judged = joined.withColumn("original_id", F.when(other, F.col("first.record_id"))).withColumn("original_url", F.when(other, F.col("first.url")))
+    decided = judged.select("file", "place", "original_id", "original_url")
+    revisits = everything.where("record_type = 'revisit'")
+    if not revisits.isEmpty():
+        now = F.struct(F.coalesce("original_id", "record_id").alias("id"), F.when(F.col("original_id").isNull(), F.col("url")).otherwise(F.col("original_url")).alias("url"))
+        named = judged.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min_by(now, order).alias("named"))
+        alike = judged.groupBy("digest").agg(F.min_by(now, order).alias("alike"))
+        own = revisits.join(named, "refers_to_id", "left").join(alike, "digest", "left").withColumn("now", F.coalesce("named", "alike"))
+        decided = decided.unionByName(own.select("file", "place", F.col("now.id").alias("original_id"), F.col("now.url").alias("original_url")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -200,8 +210,10 @@ def resolve(spark: SparkSession, path: str, files: DataFrame, to: str, least: in
                 for place, (fields, block) in enumerate(records(f"{path}/{file}")):
                     if ahead is None or ahead[:2] != (file, place):
                         continue
-                    _, _, record_id, _, page, url, digest, _, _ = _header(file, place, fields, block, False)
-                    if ahead[2] is None:
+                    _, _, record_id, kind, page, url, digest, _, refers_to = _header(file, place, fields, block, False)
+                    if ahead[2] is None and kind == "revisit":
+                        yield revisit(record_id, page, url, date, digest, refers_to, fields.get("WARC-Refers-To-Target-URI"), fields.get("WARC-Refers-To-Date"))
+                    elif ahead[2] is None:
                         yield response(record_id, page, url, date, block.partition(b"\r\n\r\n")[2], digest)
                     else:
                         yield revisit(record_id, page, url, date, digest, ahead[2], ahead[3])

@@ -26,6 +26,30 @@ def test_warc(spark, tmp_path):
     assert warc.write_archives(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_revisits_of_the_input_stay(spark, tmp_path):
+    at = lambda name: f"file://{tmp_path}/{name}"
+    rows = [(i, f"http://{i}", ["same", "other", f"alone{i}"][i % 3]) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    once = warc.resolve(spark, at("raw"), warc.write_archives(pages, at("raw")), at("once"))
+    want = sorted(map(repr, warc.read_resolved(spark, at("once"), once).collect()))
+    again = warc.resolve(spark, at("once"), once, at("twice"))
+    assert sorted(map(repr, warc.read_resolved(spark, at("twice"), again).collect())) == want and len(want) == 30
+    # a file of revisits alone: to a record that becomes a revisit, to one that is known by its digest only, and to none of the input
+    digest = warc.digest_of(b"same")
+    headers = warc.read_headers(spark, at("raw"), once).where(f"digest = '{digest}'").collect()
+    last = max(headers, key=lambda r: r["page_id"])
+    own = [warc.revisit("urn:a", 100, "u", "d", digest, last["record_id"], "u"), warc.revisit("urn:b", 101, "u", "d", digest, None, None)]
+    own += [warc.revisit("urn:c", 102, "u", "d", warc.digest_of(b"gone"), "urn:gone", "http://gone", "2001")]
+    warc.write_file(at("raw") + "/revisits.warc.gz", iter(own))
+    files = once.select("file").unionByName(spark.createDataFrame([("revisits.warc.gz",)], "file string"))
+    done = warc.resolve(spark, at("raw"), files, at("mixed"))
+    assert {r["file"]: r["records"] for r in done.collect()}["revisits.warc.gz"] == 3
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_resolved(spark, at("mixed"), done).collect()}
+    assert len(got) == 33 and got[100] == got[101] == ("revisit", 0) and got[102] == ("revisit", None)
+    fields = [f for f, _ in warc.records(at("mixed") + "/revisits.warc.gz")][2]
+    assert (fields["WARC-Refers-To"], fields["WARC-Refers-To-Target-URI"], fields["WARC-Refers-To-Date"]) == ("<urn:gone>", "http://gone", "2001")
+
+
 def brute(ids, vectors, queries_, k):
     out = {}
     for q, x in queries_:
