@@ -1,8 +1,11 @@
 import base64
 import gzip
 import hashlib
+import math
+import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from glossweave.llm import kdtree, queries, url_templates, warc
@@ -113,25 +116,125 @@ def test_url_rules_and_templates(spark):
     assert url_templates.judge(df.limit(0), queries.RULES).count() == 0
 
 
+def brute_tree(rows, p):
+    """{(host, segments): (template, purity)} by recursion over whole lists of (host, segments, label)."""
+    labels = [x for _, _, x in rows if x is not None]
+    base, out = sum(labels) / len(labels) if labels else 0.0, {}
+
+    def kind(segments):
+        if not segments:
+            return 0
+        return any(c in "0123456789" for c in segments[0]) + 2 * any(c.isalpha() for c in segments[0]) + 4 * any(not (c.isalpha() or c in "0123456789") for c in segments[0])
+
+    def grow(host, template, rest, purity):  # rest: (whole path, segments left, label)
+        own = [x for _, _, x in rest if x is not None]
+        if len(set(own)) < 2:
+            end = "/**" if any(r for _, r, _ in rest) else ""
+            out.update({(host, w): (template + end, purity) for w, _, _ in rest})
+            return
+        while all(r and r[0] == rest[0][1][0] for _, r, _ in rest):
+            template += "/" + rest[0][1][0]
+            rest = [(w, r[1:], x) for w, r, x in rest]
+        out.update({(host, w): (template or "/", purity) for w, r, _ in rest if not r})
+        children = {}
+        for w, r, x in rest:
+            if r:
+                children.setdefault(r[0], []).append((w, r[1:], x))
+        classes, units = {}, {}
+        for s, c in children.items():
+            classes.setdefault(int(math.log2(len(c))), []).append(s)
+        for size, names in classes.items():
+            some = [x for s in names for _, _, x in children[s] if x is not None]
+            share = sum(some) / len(some) if some else 0
+            for s in names:
+                unit, mine = "=" + s, [x for _, _, x in children[s] if x is not None]
+                if len(names) > p.fan:
+                    unit = f"*{size}"
+                    if mine and 0 < share < 1:
+                        q = sum(mine) / len(mine)
+                        far = sum(a * math.log(a / b) for a, b in ((q, share), (1 - q, 1 - share)) if a)
+                        if 2 * len(names) * math.exp(-len(mine) * far) < p.chance:
+                            unit += "+" if q > share else "-"
+                units.setdefault(unit, []).append(s)
+        names = sorted(units)
+        stats = []
+        for u in names:
+            below = [y for s in units[u] for y in children[s]]
+            mine = [x for _, _, x in below if x is not None]
+            stats.append((u, len(below), len(mine), sum(mine), [sum(kind(r) == k for _, r, _ in below) for k in range(8)]))
+        groups = url_templates.merge_siblings(stats, p)
+        for g, name in zip(groups, url_templates.group_names([(u, len(units[u])) for u in names], groups), strict=True):
+            k, b = sum(stats[i][2] for i in g), sum(stats[i][3] for i in g)
+            grow(host, f"{template}/{name}", [y for i in g for s in units[names[i]] for y in children[s]], (b + p.weight * purity) / (k + p.weight))
+
+    for host in {h for h, _, _ in rows}:
+        mine = [(tuple(s), s, x) for h, s, x in rows if h == host]
+        own = [x for _, _, x in mine if x is not None]
+        grow(host, "", mine, (sum(own) + p.weight * base) / (len(own) + p.weight))
+    return out
+
+
+def test_tree_equals_recursion(spark):
+    r = random.Random(12)
+    rows = []
+    for host in ("a", "b", "c", "", "plain"):
+        share = {s: r.random() for s in "uvwxyz"}
+        for _ in range(400):
+            first = [r.choice("uvwxyz")] if r.random() < 0.7 else [f"slug-{r.randrange(10**6)}"]
+            path = first + r.choice([[], ["p", "q"], [str(r.randrange(99))], ["p", "q", r.choice(["spam", "good"]), f"{r.randrange(9)}.html"], ["p", "é!", "*", "(x"]])
+            bad = 0.95 if "spam" in path else 0.02 if "good" in path else share.get(first[0], 0.4)
+            rows.append((host, path, int(r.random() < bad) if host != "plain" and r.random() < 0.6 else None))
+    rows += [("deep", ["d"] * 30 + [x], int(x == "bad")) for x in ("bad", "fine") for _ in range(9)] + [("deep", ["d"] * 30 + ["bad", "n"], None), ("long", ["x"] * 5000, None), ("long", [], 1)]
+    p = url_templates.Params()
+    got = {(x["host"], tuple(x["segments"])): (x["template"], x["purity"]) for x in url_templates.purities(spark.createDataFrame(rows, "host string, segments array<string>, label int").repartition(3), p).collect()}
+    want = brute_tree(rows, p)
+    assert set(got) == set(want)
+    for at, (template, purity) in want.items():
+        assert got[at][0] == template and got[at][1] == pytest.approx(purity), at
+    assert len({t for (h, _), (t, _) in got.items() if h == "a"}) > 6
+    assert got["deep", (*["d"] * 30, "bad")][1] > 0.7 > 0.3 > got["deep", (*["d"] * 30, "fine")][1]
+
+
+def test_siblings_and_wildcards():
+    p = url_templates.Params()
+    at = lambda *kinds: [*kinds, *[0] * (8 - len(kinds))]
+    units = [("=de", 300, 100, 100, at(0, 300)), ("=fr", 300, 100, 0, at(0, 300)), ("=en", 900, 0, 0, at(0, 900)), ("=ads", 90, 0, 0, at(90)), ("=it", 200, 60, 60, at(0, 200))]
+    groups = [sorted(units[i][0] for i in g) for g in url_templates.merge_siblings(units, p)]
+    # alike in labels and shape: one branch; like both labelled branches, or like none: apart
+    assert sorted(groups) == [["=ads"], ["=de", "=it"], ["=en"], ["=fr"]]
+    one = [u for u in units if u[0] in ("=de", "=en")]
+    assert [sorted(g) for g in url_templates.merge_siblings(one, p)] == [[0, 1]]
+    assert url_templates.group_names([("=a", 1), ("=*", 1), ("*0", 300), ("*3+", 21)], [[0], [1], [2], [3]]) == ["a", "\\*", "*", "(*3+|*)"]
+
+
 def test_templates_learn_a_bad_branch(spark):
     rows = [("h", ["bad", "{n}"], 1 if i < 30 else None) for i in range(40)] + [("h", ["good", "{n}"], 0 if i < 30 else None) for i in range(40)]
     rows += [("h", ["misc", f"s{i}"], None) for i in range(50)] + [("other", ["bad", "{n}"], None)]
-    df = spark.createDataFrame(rows, "host string, shape array<string>, label int")
-    got = {(r["host"], r["shape"][0]): (r["template"], r["purity"]) for r in url_templates.purities(df).collect()}
-    assert got["h", "bad"][1] > 0.8 and got["h", "bad"][0].startswith("/bad/")
-    assert got["h", "good"][1] < 0.1 and 0.2 < got["h", "misc"][1] < 0.8 and got["h", "misc"][0] == "/*/*"
+    df = spark.createDataFrame(rows, "host string, segments array<string>, label int")
+    got = {(r["host"], r["segments"][0]): (r["template"], r["purity"]) for r in url_templates.purities(df).collect()}
+    assert got["h", "bad"][1] > 0.8 and got["h", "bad"][0] == "/bad/**"
+    assert got["h", "good"][1] < 0.1 and 0.2 < got["h", "misc"][1] < 0.8 and got["h", "misc"][0] == "/misc/**"
     assert 0.2 < got["other", "bad"][1] < 0.8
 
 
 def test_rare_branches_that_differ_keep_their_node(spark):
     rows = [("h", ["fr", "{n}"], 0)] * 600 + [("h", ["de", "{n}"], 1)] * 30 + [("h", [f"s{i}", "{n}"], None) for i in range(23) for _ in range(59)]
     rows += [("v", [f"slug{i}"], int(i % 10 == 0)) for i in range(300)] + [("v", ["new"], None)]
-    df = spark.createDataFrame(rows, "host string, shape array<string>, label int")
-    got = {(r["host"], r["shape"][0]): (r["template"], r["purity"]) for r in url_templates.purities(df).collect()}
+    rows += [("w", [f"s{i}", "{n}"], int(i == 7)) for i in range(40) for _ in range(20)]
+    df = spark.createDataFrame(rows, "host string, segments array<string>, label int")
+    got = {(r["host"], r["segments"][0]): (r["template"], r["purity"]) for r in url_templates.purities(df).collect()}
     assert got["h", "de"][0].startswith("/de/") and got["h", "de"][1] > 0.8
     assert got["h", "fr"][1] < 0.1 and all(got["h", f"s{i}"][1] < 0.2 for i in range(23))
     # one label each tells nothing: the slugs stay one variable segment with the share of all
     assert {got["v", f"slug{i}"][0] for i in range(300)} == {"/*"} and 0.05 < got["v", "new"][1] < 0.15
+    # one value of a variable segment that is far from the others
+    assert got["w", "s7"][1] > 0.8 and all(got["w", f"s{i}"][1] < 0.1 for i in range(40) if i != 7)
+
+
+def test_method_blocks(spark):
+    rows = [(i, f"http://x.com/de/a/{i}") for i in range(60)] + [(100 + i, f"http://x.com/es/a/{i}") for i in range(5)] + [(200 + i, f"http://y.com/{t}/a/{i}") for t in ("fr", "de", "es") for i in range(60)]
+    got = {(r["host"], r["path"][1:3]): (r["rule"], r["verdict"]) for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.RULES).collect()}
+    assert got == {("x.com", "de"): ("com/de/", "block"), ("x.com", "es"): (None, "block"), ("y.com", "fr"): ("com/fr/", "allow"), ("y.com", "de"): ("com/de/", "block"), ("y.com", "es"): (None, "allow")}
 
 
 def test_pipeline(spark):
