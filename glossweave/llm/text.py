@@ -27,7 +27,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n + 1 powers of an odd base and of its inverse."""
     if _powers and len(_powers[0]) > n:
         return _powers[0], _powers[1]
     size = max(n, SLICE) + 1
@@ -55,7 +56,7 @@ def _hash(low: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     tails = heads[heads > 0] - 1
     last[tails] = word[tails]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(last) + 1
-    power, back = _table(len(low))
+    power, back = powers(len(low))
     run = np.zeros(len(low) + 1, np.uint64)
     np.cumsum(_BYTE[low] * power[: len(low)], out=run[1:])
     return mix((run[ends] - run[starts]) * back[starts] + (ends - starts).astype(np.uint64)), starts, ends

@@ -177,7 +177,7 @@ def _grouped(units: DataFrame, p: Params) -> DataFrame:
 
 def _divergence(own: Column, share: Column) -> Column:
     """Kullback-Leibler divergence of two shares, 0 < share < 1."""
-    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    part = lambda x, y: F.when(x > 0, x * (F.log(x) - F.log(y))).otherwise(0.0)
     return part(own, share) + part(1 - own, 1 - share)
 
 
@@ -187,7 +187,7 @@ def _units(children: DataFrame, p: Params) -> DataFrame:
     classed = children.withColumn("size", size)
     classes = classed.groupBy("host", "template", "size").agg(F.count("*").alias("m"), F.sum("known").alias("mk"), F.sum("bad").alias("mb"))
     joined = classed.join(classes, ["host", "template", "size"])
-    own, share = F.col("bad") / F.col("known"), F.col("mb") / F.col("mk")
+    own, share = F.col("bad") / F.greatest("known", F.lit(1)), F.col("mb") / F.greatest("mk", F.lit(1))
     odd = (F.col("known") > 0) & (share > 0) & (share < 1) & (2 * F.col("m") * F.exp(-F.col("known") * _divergence(own, share)) < p.chance)
     side = F.when(odd & (own > share), "+").when(odd & (own < share), "-").otherwise("")
     unit = F.when(F.col("m") <= p.fan, F.concat(F.lit("="), "segment")).otherwise(F.concat(F.lit("*"), F.col("size").cast("string"), side))

@@ -216,24 +216,59 @@ def test_language_id(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    v = language_id.Vocabulary(language_id.tokenizer_path("piece_bpe_32k.model"))
-    chances = np.random.default_rng(1).random((v.size, 2))
-
-    def total(s, column):
-        f = [1.0] + [0.0] * len(s)
-        for i in range(1, len(s) + 1):
-            for j in range(i):
-                code = language_id._codes(np.frombuffer(s[j:i], np.uint8)[None])[-1]
-                f[i] += sum(f[j] * chances[x, column] for x in v.find(code)[1])
-                f[i] += f[j] * chances[s[j], column] if i - j == 1 else 0
-        return math.log(f[-1])
-
-    low = np.frombuffer("hello théorie x".encode() + b" " + b"y" * 20, np.uint8)
-    starts, ends = np.array([0, 6, 15, 17]), np.array([5, 14, 16, 37])
-    got = language_id.forward(v, chances, low, starts, ends)
-    want = [[total(b" " + low[a:b].tobytes(), c) for c in (0, 1)] for a, b in zip(starts, ends, strict=True)]
-    assert np.allclose(got, want)
+def brute_forward(pieces, chances, word):
+    """log of the sum over all segmentations of a space and the word; pieces: numbers by bytes."""
+    s, log, f = b" " + word, 0.0, [1.0]
+    longest = max(map(len, pieces))
+    for i in range(1, len(s) + 1):
+        f.append(f[i - 1] * float(chances[s[i - 1]]))
+        for j in range(max(0, i - longest), i):
+            if s[j:i] in pieces:
+                f[i] += f[j] * float(chances[pieces[s[j:i]]])
+        if f[i] < 1e-60:
+            f, log = [x * 1e60 for x in f], log - math.log(1e60)
+    return math.log(f[-1]) + log
+
+
+WORDS = ["x", "hello", "théorie", "y" * 20, "Donaudampfschifffahrtsgesellschaftskapitaen", "東京都は日本の首都であり、世界最大の都市圏を", "https://example.org/a/b?c=d" * 9, "ภาษาไทย" * 20, "z" * 500]
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    import sentencepiece
+
+    path = language_id.tokenizer_path("piece_bpe_32k.model")
+    v = language_id.Vocabulary(path)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = {model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    pieces = {x: int(v.find(language_id._codes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)])))[1][0]) for x in texts}
+    assert len(set(pieces.values())) == len(texts) == v.size - 256
+    chances = np.random.default_rng(1).random((v.size, 3)) * 1e-4
+    low = [w.lower().encode() for w in WORDS] + [bytes(random.Random(n).choice(b"theinscao\xc3\xa9") for _ in range(n)) for n in range(1, 200, 7)]
+    flat = np.frombuffer(b" ".join(low), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in low]) - 1
+    starts = ends - [len(w) for w in low]
+    want = [[brute_forward(pieces, chances[:, c], w) for c in range(3)] for w in low]
+    assert np.allclose(language_id.forward(v, chances, flat, starts, ends), want)
+    # both ways over the words give the same sums
+    arcs = language_id.Arcs(v, *language_id._spaced(flat, starts, ends))
+    (f, up), (b, down) = arcs.forward(chances[:, :1]), arcs.backward(chances[:, 0])
+    assert np.allclose(np.log(f[arcs.last, 0]) + up[arcs.last, 0], np.log(b[arcs.first]) + down[arcs.first])
+    # sections and languages a few at a time change nothing
+    monkeypatch.setattr(language_id, "SECTION", 64)
+    monkeypatch.setattr(language_id, "_HELD", 150)
+    assert np.allclose(language_id.forward(v, chances, flat, starts, ends), want)
+
+
+def test_many_languages(spark):
+    r = random.Random(3)
+    lists = [["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)] for _ in range(70)]
+    rows = [(i, " ".join(r.choices(lists[i % 70], k=20)), f"l{i % 70:02}") for i in range(700)]
+    rows += [(1000, "zyxzyx " * 20_000, "long"), (1003, None, "none"), (2000, "zyxzyx zyxzyx", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.languages == [f"l{i:02}" for i in range(70)] + ["long"]
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id.identify(df.drop("lang"), model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows[:700]) and got[2000] == "long" and got[1003] == "und"
 
 
 @pytest.mark.parametrize("p", [lm_bloom.Params(bits=24), lm_bloom.Params(bits=24, hot=20, most_bytes=3000, buffer=500)])
