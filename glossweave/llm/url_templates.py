@@ -21,8 +21,9 @@ A host's root holds its distinct paths with their numbers of URLs and of labels.
    get the same verdict, and its template ends in `**`. There is no limit to the depth.
 
 A template is rejected from purity `reject` on. Labels are the rules' verdicts, or any 0/1 column. Rows are counted per path before
-anything is shuffled. Node and class sums are combined before their shuffles and come back by equi-joins, whose hot keys AQE splits; only
-the units of a node, bounded as above, meet in one task. The verdicts meet the rows again in one equi-join.
+anything is shuffled. Node and class sums are combined before their shuffles and come back by equi-joins in which rows of hot keys (a
+host with a third of all rows) aren't moved; only the units of a node, bounded as above, meet in one task. The verdicts meet the rows
+again in one equi-join on host and path.
 
 Template names: a segment; `*` for the wildcard of most children at a node; `(x|*)` for another group with x as its first member;
 a literal segment that begins with one of `*(\\` has a backslash before it.
@@ -43,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
+from .skew import join_counted
 from .storage import drop, materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -143,8 +145,7 @@ def group_names(units: list[tuple[str, int]], groups: list[list[int]]) -> list[s
     return out
 
 
-_UNIT = "host string, template string, unit string, children long, n long, known long, bad long, " + ", ".join(f"k{i} long" for i in range(KINDS))
-_GROUP = "host string, template string, unit string, branch string, group_known long, group_bad long"
+_GROUP = "host string, template string, unit string, rows long, branch string, group_known long, group_bad long"
 
 
 def _grouped(units: DataFrame, p: Params) -> DataFrame:
@@ -158,8 +159,8 @@ def _grouped(units: DataFrame, p: Params) -> DataFrame:
             held.clear()
             groups = merge_siblings([(r[2], r[4], r[5], r[6], list(r[7:])) for r in own], p)
             names = group_names([(r[2], r[3]) for r in own], groups)
-            rows = [(*own[i][:3], name, sum(own[j][5] for j in g), sum(own[j][6] for j in g)) for g, name in zip(groups, names, strict=True) for i in g]
-            kinds = [pa.string()] * 4 + [pa.int64()] * 2
+            rows = [(*own[i][:4], name, sum(own[j][5] for j in g), sum(own[j][6] for j in g)) for g, name in zip(groups, names, strict=True) for i in g]
+            kinds = [pa.string()] * 3 + [pa.int64(), pa.string()] + [pa.int64()] * 2
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _GROUP.split(", ")])
 
         now = None
@@ -181,12 +182,12 @@ def _divergence(own: Column, share: Column) -> Column:
     return part(own, share) + part(1 - own, 1 - share)
 
 
-def _units(children: DataFrame, p: Params) -> DataFrame:
+def _units(children: DataFrame, total: int, p: Params) -> DataFrame:
     """children (host, template, segment, n, known, bad, k0..) with the unit that each belongs to."""
     size = F.floor(F.log2(F.col("n") + 0.5)).cast("long")
     classed = children.withColumn("size", size)
     classes = classed.groupBy("host", "template", "size").agg(F.count("*").alias("m"), F.sum("known").alias("mk"), F.sum("bad").alias("mb"))
-    joined = classed.join(classes, ["host", "template", "size"])
+    joined = join_counted(classed, classes.withColumn("rows", F.col("m")), ["host", "template", "size"], total)
     own, share = F.col("bad") / F.greatest("known", F.lit(1)), F.col("mb") / F.greatest("mk", F.lit(1))
     odd = (F.col("known") > 0) & (share > 0) & (share < 1) & (2 * F.col("m") * F.exp(-F.col("known") * _divergence(own, share)) < p.chance)
     side = F.when(odd & (own > share), "+").when(odd & (own < share), "-").otherwise("")
@@ -199,31 +200,30 @@ def purities(urls: DataFrame, p: Params = Params()) -> DataFrame:
     label = F.col("label")
     counted = urls.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count(label).alias("known"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("bad"))
     paths = materialise(counted, "paths")
-    whole = paths.agg(F.sum("known"), F.sum("bad")).first()
+    whole = paths.agg(F.sum("known"), F.sum("bad"), F.count("*")).first()
+    total = whole[2]
     base = float(whole[1] or 0) / (whole[0] or 1)
 
     def smoothed(bad: Column, known: Column, parent: Column) -> Column:
         return (bad + p.weight * parent) / (known + p.weight)
 
-    hosts = paths.groupBy("host").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
-    now = paths.join(hosts.select("host", smoothed(F.col("b"), F.col("k"), F.lit(base)).alias("purity")), "host")
+    hosts = paths.groupBy("host").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"), F.count("*").alias("rows"))
+    now = join_counted(paths, hosts.select("host", smoothed(F.col("b"), F.col("k"), F.lit(base)).alias("purity"), "rows"), ["host"], total)
     now = now.withColumn("at", F.lit(0)).withColumn("template", F.lit(""))
+    now = materialise(now, "level")
     done: list[DataFrame] = []
-    before: DataFrame | None = None
     while True:
         rest = F.slice("segments", F.col("at") + 1, F.greatest(F.size("segments") - F.col("at"), F.lit(0)))
-        nodes = now.groupBy("host", "template").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"), F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+        nodes = now.groupBy("host", "template").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"), F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.count("*").alias("rows"))
         shared = F.expr("aggregate(sequence(0, greatest(least(size(lo), size(hi)), 1) - 1), 0, (n, i) -> if(n = i and get(lo, i) = get(hi, i), n + 1, n))")
-        nodes = nodes.select("host", "template", ((F.col("b") > 0) & (F.col("b") < F.col("k"))).alias("grows"), shared.alias("run"), (F.size("hi") > 0).alias("below"))
-        marked = materialise(now.join(nodes, ["host", "template"]), "nodes")
-        if before is not None:
-            drop(before)
-        before = marked
+        nodes = nodes.select("host", "template", ((F.col("b") > 0) & (F.col("b") < F.col("k"))).alias("grows"), shared.alias("run"), (F.size("hi") > 0).alias("below"), "rows")
+        marked = materialise(join_counted(now, nodes, ["host", "template"], total), "nodes")
+        drop(now)
         ended = marked.where("not grows").withColumn("template", F.when(F.col("below"), F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
         done.append(materialise(ended.select("host", "segments", "template", "purity"), "settled"))
         grows = marked.where("grows")
         if grows.isEmpty():
-            drop(before)
+            drop(marked)
             break
         step = F.concat_ws("/", F.slice("segments", F.col("at") + 1, F.col("run")))
         here = grows.withColumn("template", F.when(F.col("run") > 0, F.concat("template", F.lit("/"), step)).otherwise(F.col("template")))
@@ -234,15 +234,17 @@ def purities(urls: DataFrame, p: Params = Params()) -> DataFrame:
         here = here.where("segment is not null")
         kind = F.when(F.col("next").isNull(), 0).otherwise(F.col("next").rlike("[0-9]").cast("int") + 2 * F.col("next").rlike(r"\p{L}").cast("int") + 4 * F.col("next").rlike(r"[^0-9\p{L}]").cast("int"))
         kinds = [F.sum(F.when(kind == i, F.col("n")).otherwise(0)).alias(f"k{i}") for i in range(KINDS)]
-        children = here.groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "known", "bad")), *kinds)
-        children = materialise(_units(children, p), "children")
+        children = here.groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "known", "bad")), *kinds, F.count("*").alias("rows"))
+        children = materialise(_units(children, total, p), "children")
         sums = [F.sum(c).alias(c) for c in ("n", "known", "bad", *(f"k{i}" for i in range(KINDS)))]
-        groups = _grouped(children.groupBy("host", "template", "unit").agg(F.count("*").alias("children"), *sums), p)
-        branches = children.select("host", "template", "segment", "unit").join(groups, ["host", "template", "unit"]).drop("unit")
-        now = here.join(branches, ["host", "template", "segment"])
+        groups = materialise(_grouped(children.groupBy("host", "template", "unit").agg(F.count("*").alias("children"), *sums), p), "groups")
+        branches = join_counted(children.select("host", "template", "segment", "unit", F.col("rows").alias("paths")), groups, ["host", "template", "unit"], total)
+        now = join_counted(here, materialise(branches.drop("unit").withColumnRenamed("paths", "rows"), "branches"), ["host", "template", "segment"], total)
         now = now.withColumn("purity", smoothed(F.col("group_bad"), F.col("group_known"), F.col("purity")))
         now = now.withColumn("template", F.concat("template", F.lit("/"), "branch")).withColumn("at", F.col("at") + 1)
-        now = now.select("host", "segments", "n", "known", "bad", "purity", "at", "template")
+        now = materialise(now.select("host", "segments", "n", "known", "bad", "purity", "at", "template"), "level")
+        for table in (marked, children, groups):
+            drop(table)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
