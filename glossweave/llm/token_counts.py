@@ -7,7 +7,8 @@ and last separators. So a document may span any number of blocks and files of an
 
 Cases: two separators side by side are an empty document of 0 tokens; ids after the last separator are a document that isn't closed;
 an empty file has no documents; null and empty texts are written as the separator alone; a null doc_id stays null; an empty table
-writes no files; other columns play no part.
+writes no files; other columns play no part. write_flat() encodes special strings in texts as ordinary text, so that the separator can't
+stand inside a document.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, file, out = encoder(tokenizer_path(tokenizer)), f"part-{TaskContext.get().partitionId()}.ids", []
+        coder, file, out = encoder(tokenizer_path(tokenizer), plain=True), f"part-{TaskContext.get().partitionId()}.ids", []
         width = width_of(coder.tokenizer.get_vocab_size(), end_id)
 
         def parts() -> Iterator[bytes]:

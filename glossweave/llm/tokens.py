@@ -26,21 +26,27 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False) with special strings as ordinary text.
+    """ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).
 
+    plain: special strings in texts are ordinary text; otherwise they get the ids that the file has for them, as the library does.
     Pre-tokens of the two public BPE files never cross the place before a lone space, so such a text is the concatenation of its
     chunks and each distinct chunk is encoded once while it stays in the cache. Texts outside Latin-1, with odd control characters or
-    (byte-level file) with runs of mixed white space are encoded whole, as are all texts of other tokenizer files.
+    (byte-level file) with runs of mixed white space are encoded whole, as are those that may hold a special string and all texts of
+    other tokenizer files.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 800_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.most = most
         conf = json.load(open(path, encoding="utf-8"))
+        # what all special strings begin with, if that has no letters; else texts are searched for each, whatever its case
+        own = [x["content"] for x in conf.get("added_tokens") or []]
+        begin = re.match(r"[^\w\s]*", os.path.commonprefix(own))[0]
+        self.special = None if plain or not own else re.compile(re.escape(begin) if begin else "|".join(map(re.escape, own)), re.IGNORECASE)
         pre, norm = conf.get("pre_tokenizer") or {}, conf.get("normalizer")
         self.kind = "whole"
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
@@ -186,7 +192,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            parts = self._chunks(text) if self.kind != "whole" else None
+            parts = self._chunks(text) if self.kind != "whole" and not (self.special and self.special.search(text)) else None
             if parts is None:
                 whole.append(i)
             else:
@@ -219,14 +225,14 @@ class Encoder:
         return flat, lengths
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, most: int = 800_000) -> Encoder:
-    """One Encoder a Python worker and file."""
-    if (path, most) not in _encoders:
-        _encoders[path, most] = Encoder(path, most)
-    return _encoders[path, most]
+def encoder(path: str, most: int = 800_000, plain: bool = False) -> Encoder:
+    """One Encoder a Python worker, file and kind."""
+    if (path, most, plain) not in _encoders:
+        _encoders[path, most, plain] = Encoder(path, most, plain)
+    return _encoders[path, most, plain]
 
 
 def with_end(flat: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
