@@ -177,8 +177,12 @@ def read_headers(spark: SparkSession, path: str, files: DataFrame, check: bool =
                 if rows:
                     yield _rows(rows, HEADERS)
 
-    n = max(1, min(files.count(), 10_000))
-    return map_arrow(files.select("file").repartition(n, F.xxhash64("file")), run, HEADERS)
+    return map_arrow(files.select("file").repartition(_tasks(files), "file"), run, HEADERS)
+
+
+def _tasks(files: DataFrame) -> int:
+    """Partitions for work that is dealt by file: several a file, so that few files meet; a number, as header bytes say little of the work."""
+    return max(1, min(4 * files.count(), 20_000))
 
 
 def resolve(spark: SparkSession, path: str, files: DataFrame, to: str, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -223,7 +227,7 @@ def resolve(spark: SparkSession, path: str, files: DataFrame, to: str, least: in
             write_file(f"{to}/{file}", parts())
             yield _rows([(file, n)], "file string, records long")
 
-    dealt = decided.repartition("file").sortWithinPartitions("file", "place")
+    dealt = decided.repartition(_tasks(files), "file").sortWithinPartitions("file", "place")
     return materialise(map_arrow(dealt, run, "file string, records long"), "archives")
 
 
