@@ -7,12 +7,15 @@ quantised, and no smaller than put in but for the quantising. With q(.) for thes
     log10 p(w | v) = log10( (min(q(v, w), q(v)) + s * p(w)) / (q(v) + s) )
 
 summed over a text's tokens is its score; a text's first token follows a start mark. Tokens are A-Z-lower-cased runs of bytes that
-aren't ASCII white space, and one end token; they are told apart by 64-bit hashes.
+aren't ASCII white space, and one end token; they are told apart by 64-bit hashes, pairs by their bucket and 40 bits of their hash.
 
-The filter grows with the corpus. It is broadcast in groups of buckets of at most `most_bytes`: normally one; with more, each group
-is one more pass over the texts, which adds the levels that this group knows. The exact counts of the base score are a table: those of
-the most frequent tokens, at most `hot` of them, are broadcast and cover most of every text; a document's other tokens are counted in
-the document and joined by hash.
+The filter grows with the corpus. Where all of it has at most `most_bytes`, it is broadcast and texts are scored in one pass where they
+are read. A larger one is not: texts are dealt to chunks of `chunk_bytes`, the distinct keys of a chunk go to the buckets that hold
+them, are probed there, and their levels come back to the chunk. Both ways probe the same filter with the same keys, so they give the
+same scores, and both read the corpus twice (counting, scoring) whatever its size.
+
+The exact counts of the base score are a table: those of the most frequent tokens, at most `hot` of them, are broadcast and cover most
+of every text; a document's other tokens are counted in the document and joined by hash.
 
 Cases: a null or blank text is the end token alone; a row with null doc_id is trained on and not held out; repeated rows are counted
 and scored each; with no training text N = V = 0 and every token is unknown; an empty table gives an empty result; other columns play
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
-from .storage import materialise
+from .storage import drop, materialise
 from .text import Words, gathered, mix, words
 
 START, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x27D4EB2F165667C5)
@@ -41,13 +44,14 @@ _KEY = np.uint64((1 << 40) - 1)
 
 @dataclass(frozen=True)
 class Params:
-    #: Bits and probes of one filter entry.
-    bits: int = 8
-    probes: int = 4
+    #: Bits and probes of one filter entry: about 0.4 % of absent entries are met by chance.
+    bits: int = 12
+    probes: int = 6
     smoothing: float = 2.0
     hot: int = 1 << 18
-    #: Bytes of text to a bucket, and of filter in one broadcast.
+    #: Bytes of text to a bucket and to a chunk, and the most bytes of filter that are broadcast.
     bucket_bytes: int = 16_000_000
+    chunk_bytes: int = 8_000_000
     most_bytes: int = 256_000_000
     #: Tokens that a task counts before it passes counts on.
     buffer: int = 1 << 21
@@ -108,6 +112,20 @@ def build(keys: np.ndarray, counts: np.ndarray, bucket: int, p: Params) -> bytes
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def probe(data: np.ndarray, keys: np.ndarray, bucket: np.ndarray, size: np.ndarray, base: np.ndarray, p: Params) -> np.ndarray:
+    """The highest level that is reached from 1 without a gap, for each key; size and base: the bits of its bucket in data (0: none)."""
+    out, left, level = np.zeros(len(keys), np.int64), np.flatnonzero(size > 0), 0
+    while len(left) and level < 60:
+        level += 1
+        hit = np.ones(len(left), bool)
+        for at in _places(keys[left], bucket[left], level, size[left], p.probes):
+            at += base[left]
+            hit &= (data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        left = left[hit]
+        out[left] = level
+    return out
+
+
 class Filter:
     """Some buckets' filters; other buckets hold nothing."""
 
@@ -121,19 +139,8 @@ class Filter:
         self.data = np.frombuffer(data, np.uint8)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """The highest level that is reached from 1 without a gap, for each hash."""
         bucket = bucket_of(h, self.buckets)
-        out, left = np.zeros(len(h), np.int64), np.flatnonzero(self.size[bucket] > 0)
-        level = 0
-        while len(left) and level < 60:
-            level += 1
-            where, hit = bucket[left], np.ones(len(left), bool)
-            for at in _places(h[left], where, level, self.size[where], self.p.probes):
-                at += self.base[where]
-                hit &= (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            left = left[hit]
-            out[left] = level
-        return out
+        return probe(self.data, h, bucket, self.size[bucket], self.base[bucket], self.p)
 
 
 def _counts(docs: DataFrame, buckets: int, p: Params) -> DataFrame:
@@ -155,7 +162,7 @@ def _counts(docs: DataFrame, buckets: int, p: Params) -> DataFrame:
                 held.clear()
             (one, one_n, one_at), (two, two_n, two_at) = cut
             rows = []
-            for b in range(buckets):
+            for b in np.flatnonzero((np.diff(one_at) > 0) | (np.diff(two_at) > 0)):
                 i, j = one_at[b : b + 2]
                 k, m = two_at[b : b + 2]
                 key, n = two[k:m] & _KEY, two_n[k:m]
@@ -225,21 +232,192 @@ def _bucketed(packed: DataFrame, buckets: int, p: Params) -> DataFrame:
     return map_arrow(dealt, run, "bucket long, bits binary, h array<long>, c array<long>")
 
 
-_ROW = "rid long, doc_id long, text string, held_out boolean, levels binary"
 _SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, hot_sum double, hot_known long, score double, rare array<long>, times array<long>"
 
 
-def _probed(w: Words, table: Filter, levels: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, bounds, levels of pairs, of tokens, of the tokens before), with what earlier groups found."""
+@dataclass
+class _Known:
+    """What scoring needs besides levels: the hashes and counts of hot tokens, training tokens, their distinct number, texts."""
+
+    hot: np.ndarray
+    counts: np.ndarray
+    total: int
+    distinct: int
+    texts: float
+
+
+def _scored(rids: np.ndarray, part: pa.RecordBatch, w: Words, levels, known: _Known, p: Params) -> pa.RecordBatch:
+    """_SCORED of some texts (part: doc_id, held_out, ...); levels: the levels of an array of distinct hashes."""
     tokens, before, bounds = sequence(w)
     one, back = np.unique(tokens, return_inverse=True)
     two, again = np.unique(pair(before, tokens), return_inverse=True)
-    own, both = table.levels(one)[back], table.levels(two)[again]
-    if any(levels):
-        earlier = np.frombuffer(b"".join(levels), np.uint8)
-        at = np.repeat(2 * bounds[:-1], np.diff(bounds)) + np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
-        own, both = own + earlier[at], both + earlier[at + np.repeat(np.diff(bounds), np.diff(bounds))]
-    return tokens, bounds, both, own, before
+    mine, both = value_of(levels(one))[back], value_of(levels(two))[again]
+    texts, n = len(bounds) - 1, np.diff(bounds)
+    history = np.empty(len(tokens))
+    history[1:] = mine[:-1]
+    history[bounds[:-1]] = known.texts
+    chance = (mine + 1) / (known.total + known.distinct + 1)
+    log = np.log10((np.minimum(both, history) + p.smoothing * chance) / (history + p.smoothing))
+    doc = np.repeat(np.arange(texts), n)
+    at = np.minimum(np.searchsorted(known.hot, one), max(0, len(known.hot) - 1))
+    is_hot = known.hot[at] == one if len(known.hot) else np.zeros(len(one), bool)
+    weight = np.where(is_hot, np.log10(known.counts[at] + 1.0), 0.0) if len(known.hot) else np.zeros(len(one))
+    left = np.flatnonzero(~is_hot[back])
+    key, times = np.unique(doc[left] * len(one) + back[left], return_counts=True)
+    edge = pa.array(np.searchsorted(key, np.arange(texts + 1) * len(one)).astype(np.int32))
+    lists = lambda values: pa.ListArray.from_arrays(edge, pa.array(values.astype(np.int64)))
+    columns = [
+        pa.array(rids),
+        part.column(0),
+        part.column(1),
+        pa.array(n.astype(np.int64)),
+        pa.array(np.bincount(doc, weight[back], texts)),
+        pa.array(np.bincount(doc, is_hot[back], texts).astype(np.int64)),
+        pa.array(np.bincount(doc, log, texts)),
+        lists(one.view(np.int64)[key % len(one)]),
+        lists(times),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORED.split(", ")])
+
+
+def _score_broadcast(given: DataFrame, model: DataFrame, known, buckets: int, p: Params) -> DataFrame:
+    """_SCORED of all texts, in one pass with the whole filter at every worker."""
+    # as Arrow: rows of Python objects would hold the filter several times at the driver
+    table = model.select("bucket", "bits").toArrow()
+    bits = [x.as_buffer() for x in table.column("bits")]
+    shared = given.sparkSession.sparkContext.broadcast((dict(zip(table.column("bucket").to_pylist(), map(len, bits), strict=True)), b"".join(bits)))
+    del table, bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Filter(*shared.value, buckets, p)
+        rid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for lo, hi, w in gathered(words(batch.column(2)), 1 << 21):
+                yield _scored(np.arange(rid, rid + hi - lo), batch.slice(lo, hi - lo), w, table.levels, known.value, p)
+                rid += hi - lo
+
+    out = materialise(map_arrow(given, run, _SCORED), "scored")
+    shared.destroy()
+    return out
+
+
+_CHUNK = "chunk long, doc_id array<long>, held_out array<boolean>, text array<string>"
+_KEYS = "bucket long, kind int, chunk long, data binary"
+
+
+def _score_dealt(given: DataFrame, model: DataFrame, known, buckets: int, tasks: int, p: Params) -> DataFrame:
+    """_SCORED of all texts, with the keys of each chunk probed at the buckets that hold them."""
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def closed() -> pa.RecordBatch:
+            nonlocal chunk
+            table = pa.Table.from_batches(held).combine_chunks()
+            chunk += 1
+            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), c.combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), *map(whole, table.columns)], ["chunk", "doc_id", "held_out", "text"])
+
+        for batch in batches:
+            lo = 0
+            for hi in range(1, batch.num_rows + 1):
+                text = batch.column(2)[hi - 1]
+                size += 64 + (len(text.as_buffer()) if text.is_valid else 0)
+                if size >= p.chunk_bytes:
+                    held.append(batch.slice(lo, hi - lo))
+                    yield closed()
+                    held, size, lo = [], 0, hi
+            if lo < batch.num_rows:
+                held.append(batch.slice(lo))
+        if held:
+            yield closed()
+
+    chunks = materialise(map_arrow(given, chunked, _CHUNK), "chunks")
+
+    def whole(texts: pa.Array) -> Words:
+        ((_, _, w),) = gathered(words(texts), 1 << 62)
+        return w
+
+    def distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes of a chunk by bucket, and their buckets."""
+        tokens, before, _ = sequence(w)
+        keys = np.unique(np.concatenate([tokens, pair(before, tokens)]))
+        bucket = bucket_of(keys, buckets)
+        order = np.argsort(bucket, kind="stable")
+        return keys[order], bucket[order]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, bucket = distinct(whole(texts.values))
+                own, first = np.unique(bucket, return_index=True)
+                ends = np.append(first[1:], len(keys))
+                low = (keys & _KEY).view(np.uint8).reshape(-1, 8)[:, :5]
+                for at in range(0, len(own), 4096):
+                    data = [low[i:j].tobytes() for i, j in zip(first[at : at + 4096], ends[at : at + 4096], strict=True)]
+                    n = len(data)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at : at + n]), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, chunk)), pa.array(data, pa.binary())], ["bucket", "kind", "chunk", "data"])
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = None, np.zeros(0, np.uint8)
+        for batch in batches:
+            out = []
+            for bucket, kind, chunk, data in zip(*batch.columns, strict=True):
+                bucket, data = bucket.as_py(), np.frombuffer(data.as_buffer(), np.uint8)
+                if kind.as_py() == 0:  # a bucket's filter comes before the keys to probe
+                    now, bits = bucket, data.copy()
+                    continue
+                n = len(data) // 5
+                wide = np.zeros((n, 8), np.uint8)
+                wide[:, :5] = data.reshape(-1, 5)
+                size = np.full(n, 8 * len(bits) if bucket == now else 0, np.uint64)
+                found = probe(bits, wide.view(np.uint64).ravel(), np.full(n, bucket), size, np.zeros(n, np.int64), p)
+                out.append((chunk.as_py(), bucket, found.astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "levels"])
+
+    filters = model.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("data"))
+    dealt = filters.unionByName(map_arrow(chunks.select("chunk", "text"), keyed, _KEYS)).repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket", "kind")
+    levels = map_arrow(dealt, probed, "chunk long, bucket long, levels binary")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        now: tuple | None = None
+        rid = TaskContext.get().partitionId() << 33
+
+        def closed() -> pa.RecordBatch:
+            nonlocal rid
+            ids, held_out, texts = now
+            rids = np.arange(rid, rid + len(ids))
+            rid += len(ids)
+            w = whole(texts)
+            keys, _ = distinct(w)
+            found = np.frombuffer(b"".join(held), np.uint8).astype(np.int64)
+            order = np.argsort(keys)
+            keys, found = keys[order], found[order]
+            held.clear()
+            part = pa.RecordBatch.from_arrays([ids, held_out], ["doc_id", "held_out"])
+            return _scored(rids, part, w, lambda some: found[np.searchsorted(keys, some)], known.value, p)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column(1)[i].as_py() is None:
+                    if now is not None:
+                        yield closed()
+                    now = tuple(batch.column(c)[i].values for c in (3, 4, 5))
+                else:
+                    held.append(batch.column(2)[i].as_buffer().to_pybytes())
+        if now is not None:
+            yield closed()
+
+    empty = [F.lit(None).cast(k).alias(n) for n, k in (x.split() for x in _CHUNK.split(", ")[1:])]
+    back = levels.select("chunk", "bucket", "levels", *empty)
+    own = chunks.select("chunk", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("levels"), "doc_id", "held_out", "text")
+    # a chunk's own row comes first, then its levels by bucket
+    met = own.unionByName(back).repartition(tasks, "chunk").sortWithinPartitions("chunk", F.asc_nulls_first("bucket"))
+    out = materialise(map_arrow(met, scored, _SCORED), "scored")
+    drop(chunks)
+    return out
 
 
 def score(docs: DataFrame, trained_on: DataFrame, p: Params = Params()) -> DataFrame:
@@ -248,13 +426,13 @@ def score(docs: DataFrame, trained_on: DataFrame, p: Params = Params()) -> DataF
     trained_on: rows with text, all of which are learned from."""
     spark = docs.sparkSession
     size = trained_on.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // p.bucket_bytes))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, -(-size // p.bucket_bytes))
     model = materialise(_bucketed(_counts(trained_on, buckets, p), buckets, p), "model")
     vocabulary = model.select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.h", "x.c")
-    total, distinct = model.agg(F.sum(F.expr("aggregate(c, 0L, (a, x) -> a + x)")), F.sum(F.size("h"))).first()
-    total, distinct = total or 0, distinct or 0
+    total, distinct, held = model.agg(F.sum(F.expr("aggregate(c, 0L, (a, x) -> a + x)")), F.sum(F.size("h")), F.sum(F.length("bits"))).first()
+    total, distinct, held = total or 0, distinct or 0, held or 0
     ends = vocabulary.where(F.col("h") == int(END.astype(np.int64))).first()
-    texts_learned = float(ends["c"]) if ends else 0.0
     # the least count that at most p.hot tokens reach
     by_level = sorted(((r["k"], r["n"]) for r in vocabulary.groupBy(F.floor(F.log2("c") * 8).alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
     reached, level = 0, None
@@ -268,71 +446,10 @@ def score(docs: DataFrame, trained_on: DataFrame, p: Params = Params()) -> DataF
         hot_h, hot_c = hot.column("h").to_numpy().view(np.uint64), hot.column("c").to_numpy()
         order = np.argsort(hot_h)
         hot_h, hot_c = hot_h[order], hot_c[order]
-    known = spark.sparkContext.broadcast((hot_h, hot_c))
-    groups: list[list[int]] = [[]]
-    held = 0
-    for r in model.select("bucket", F.length("bits").alias("n")).orderBy("bucket").collect():
-        if groups[-1] and held + r["n"] > p.most_bytes:
-            groups.append([])
-            held = 0
-        groups[-1].append(r["bucket"])
-        held += r["n"]
-
-    given = docs.select(F.lit(None).cast("long").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("held_out").cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("levels"))
-    for number, group in enumerate(groups):
-        # as Arrow: rows of Python objects would hold the filter several times at the driver
-        table = model.where(F.col("bucket").isin(group)).select("bucket", "bits").toArrow()
-        bits = [x.as_buffer() for x in table.column("bits")]
-        shared = spark.sparkContext.broadcast((dict(zip(table.column("bucket").to_pylist(), map(len, bits), strict=True)), b"".join(bits)))
-        del table, bits
-        last = number == len(groups) - 1
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last, number=number) -> Iterator[pa.RecordBatch]:
-            table = Filter(*shared.value, buckets, p)
-            hot_h, hot_c = known.value
-            rid = TaskContext.get().partitionId() << 33
-            for batch in batches:
-                for lo, hi, w in gathered(words(batch.column(2)), 1 << 21):
-                    part = batch.slice(lo, hi - lo)
-                    tokens, bounds, both, own, _ = _probed(w, table, part.column(4).to_pylist())
-                    rids = pa.array(np.arange(rid, rid + hi - lo)) if number == 0 else part.column(0)
-                    rid += hi - lo
-                    if not last:
-                        raw = [np.concatenate([own[a:b], both[a:b]]).astype(np.uint8).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                        yield pa.RecordBatch.from_arrays([rids, *part.columns[1:4], pa.array(raw, pa.binary())], part.schema.names)
-                        continue
-                    texts, n = len(bounds) - 1, np.diff(bounds)
-                    back = np.empty(len(tokens))
-                    mine = value_of(own)
-                    back[1:] = mine[:-1]
-                    back[bounds[:-1]] = texts_learned
-                    chance = (mine + 1) / (total + distinct + 1)
-                    log = np.log10((np.minimum(value_of(both), back) + p.smoothing * chance) / (back + p.smoothing))
-                    doc = np.repeat(np.arange(texts), n)
-                    one, inverse = np.unique(tokens, return_inverse=True)
-                    at = np.minimum(np.searchsorted(hot_h, one), max(0, len(hot_h) - 1))
-                    is_hot = hot_h[at] == one if len(hot_h) else np.zeros(len(one), bool)
-                    weight = np.where(is_hot, np.log10(hot_c[at] + 1.0), 0.0) if len(hot_h) else np.zeros(len(one))
-                    left = np.flatnonzero(~is_hot[inverse])
-                    key, times = np.unique(doc[left] * len(one) + inverse[left], return_counts=True)
-                    edge = np.searchsorted(key, np.arange(texts + 1) * len(one))
-                    lists = lambda values: pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values.astype(np.int64)))  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            rids,
-                            part.column(1),
-                            part.column(3),
-                            pa.array(n.astype(np.int64)),
-                            pa.array(np.bincount(doc, weight[inverse], texts)),
-                            pa.array(np.bincount(doc, is_hot[inverse], texts).astype(np.int64)),
-                            pa.array(np.bincount(doc, log, texts)),
-                            lists(one.view(np.int64)[key % len(one)]),
-                            lists(times),
-                        ],
-                        [x.split()[0] for x in _SCORED.split(", ")],
-                    )
-
-        given = materialise(map_arrow(given, run, _SCORED if last else _ROW), "scored")
+    known = spark.sparkContext.broadcast(_Known(hot_h, hot_c, total, distinct, float(ends["c"]) if ends else 0.0))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), F.col("text").cast("string").alias("text"))
+    given = _score_broadcast(given, model, known, buckets, p) if held <= p.most_bytes else _score_dealt(given, model, known, buckets, max(tasks, -(-size // (4 * p.chunk_bytes))), p)
+    known.destroy()
     rare = given.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
     found = rare.join(vocabulary, "h").groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("sum"), F.sum("n").alias("known"))
     none = F.lit(float(np.log10(total + distinct + 1)))
