@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -171,6 +172,65 @@ def test_leaks_of_partial_passages(spark):
     assert [x["doc_id"] for x in clean.collect()] == [2]
 
 
+def least_edits(windows, text):
+    """Fewest edits that turn each window (equally long, rows of bytes) into some run of the text: plain dynamic programming."""
+    text = np.frombuffer(text, np.uint8)
+    row = np.zeros((len(windows), len(text) + 1), np.int64)
+    steps = np.arange(len(text) + 1)
+    for i in range(windows.shape[1]):
+        new = np.minimum(row[:, 1:] + 1, row[:, :-1] + (windows[:, i, None] != text))
+        new = np.concatenate([np.full((len(windows), 1), i + 1), new], axis=1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return row.min(axis=1)
+
+
+def test_leaks_equal_edit_distance_of_every_window():
+    r = random.Random(21)
+    p = decontaminate.Params()
+    shared = passage(r, 30)
+    items = [(i, passage(r, r.choice([8, 14, 25, 45]))) for i in range(12)] + [(20 + i, f"{passage(r, 6)} {shared} {passage(r, 6)}") for i in range(4)] + [(30, "the the the " * 12)]
+    texts = [passage(r, 60) for _ in range(6)] + ["the " * 90, shared]
+    for i, t in items:
+        for edits in (0, 3, 6, 9, 14):
+            run = list(t[r.randrange(30) :][: r.choice([50, 80, 120, 300])])
+            for _ in range(edits):
+                k = r.randrange(len(run))
+                run[k : k + 1] = r.choice([[], ["q"], ["q", run[k]]])
+            texts.append(f"{passage(r, 12)} {''.join(run)} {passage(r, 12)}")
+    normal = [decontaminate._normal([t.encode()])[0][16:-16].tobytes().strip() for t in texts]
+    want = set()
+    for n, (_, item) in enumerate(items):
+        own = decontaminate._normal([item.encode()])[0][16:-16].tobytes().strip()
+        for at, size in p.cuts(np.frombuffer(own, np.uint8)):
+            window = np.frombuffer(own[at : at + size], np.uint8)[None]
+            k = min(int(p.error * size), max(0, (size - p.q) // p.q))
+            want |= {(t, n) for t, x in enumerate(normal) if (t, n) not in want and least_edits(window, x)[0] <= k}
+    for hits in (1 << 21, 50):
+        index = decontaminate.Index(items, decontaminate.Params(hits=hits))
+        got = {(t, n) for t, n, *_ in decontaminate._search_all(index, texts)}
+        assert got == want
+    assert len(want) > 30 and {n for t, n in want if t == 7} == {12, 13, 14, 15}
+
+
+def test_a_passage_that_many_items_share():
+    r = random.Random(5)
+    shared = passage(r, 40)
+    items = [(i, f"{passage(r, 5)} {shared} {passage(r, 5)}") for i in range(200)]
+    index = decontaminate.Index(items, decontaminate.Params())
+    began = time.perf_counter()
+    got = list(decontaminate._search_all(index, [(shared + " ") * (1_000_000 // len(shared)), passage(r, 200)]))
+    assert {(t, n) for t, n, *_ in got} == {(0, n) for n in range(200)} and all(e == 0 for *_, e, _ in got)
+    assert time.perf_counter() - began < 10
+
+
+def test_short_items_match_whole_documents(spark):
+    items = [(1, "Yes, no!"), (2, "..."), (3, None), (4, "yes no"), (5, "x" * 24)]
+    docs = [(1, "yes -- NO"), (2, "oh yes no"), (3, "..."), (4, ""), (5, "x" * 24 + "."), (6, "yes no" * 400), (None, "yes no")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(df, bench).collect()} == {(1, 1), (1, 4), (5, 5), (None, 1), (None, 4)}
+    assert {x["doc_id"] for x in decontaminate.decontaminate(df, bench).collect()} == {2, 3, 4, 6}
+
+
 def test_alignment_equals_edit_distance():
     p = decontaminate.Params()
     r = random.Random(2)
@@ -192,7 +252,7 @@ def test_alignment_equals_edit_distance():
             edited[k : k + 1] = r.choice([[], ["q"], ["q", edited[k]]])
         run = "zzzz " + "".join(edited) + " zzzz"
         data, starts = decontaminate._normal([run.encode()])
-        best = index._aligned(data, np.zeros(1, int), np.array([int(starts[0]) + 5 - 8]))[0]
+        best = index._aligned(data, np.zeros(1, int), np.array([int(starts[0]) + 5 - 8]), starts, np.array([len(data) - 16]))[0]
         true = distance(index.text[0, : index.size[0]].tobytes().decode(), run)
         assert best == true if true <= 8 else best >= true
 
