@@ -84,19 +84,16 @@ def mutual_argmax(sim: np.ndarray) -> np.ndarray:
 
 
 def itermax(sim: np.ndarray, rounds: int = 2, alpha: float = 0.9) -> np.ndarray:
-    """mutual_argmax, then again on similarities discounted where row or column is taken; new links must use a free one.
-
-    Ends early once every row or every column is taken, and never starts a second pass on two rows or columns."""
-    links = mutual_argmax(sim)
-    for _ in range(rounds - 1 if min(sim.shape, default=0) > 2 else 0):
-        rows, columns = links.sum(axis=1) == 0, links.sum(axis=0) == 0
-        if not (rows.any() and columns.any()):
-            break
-        free = np.add.outer(rows.astype(int), columns.astype(int))  # 0, 1 or 2 of the cell's row and column
-        new = mutual_argmax(sim * np.minimum(alpha * free, 1.0)) & (free > 0) & ~links
-        if not new.any():
-            break
-        links = links | new
+    """Mutual maxima of similarities that count in full where row and column are both free, `alpha` of them where one is, and not at all
+    where none is; what each round finds is taken in the next. Before the first round all is free, so it gives mutual_argmax.
+
+    Two rows or columns have no second round, and none comes once all rows or all columns are taken."""
+    gain = np.minimum(alpha * np.arange(3), 1.0)
+    links = np.zeros(sim.shape, bool)
+    for _ in range(rounds if min(sim.shape, default=0) > 2 else 1):
+        sides = np.add.outer(~links.any(axis=1), ~links.any(axis=0), dtype=int)
+        if sides.max(initial=0) == 2:
+            links |= mutual_argmax(sim * gain[sides]) & (sides > 0)
     return links
 
 

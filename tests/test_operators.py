@@ -60,13 +60,17 @@ def test_missing(spark):
 
 
 def test_unused(spark):
-    code = spark.createDataFrame([("a.tsx", "t(\"orders.issue_date\"); u('orders.submit'); v('level.' + n); w(`error.${c}.message`)"), ("nav.js", "['nav.issues', `pool.exchange`]" + "'" + "x" * 50_000 + "'")], "path string, content string")
-    keys = ["nav.issues", "orders.issue_date", "orders.submit", "orders.submit_btn", "pallets.dehire", "level.one", "error.Z.message", "pool.exchange"]
-    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, ord long")
-    got = {r["key"]: r["status"] for r in completeness.key_usage(df, code).collect()}
-    assert [k for k in keys if got[k] == "unused"] == ["orders.submit_btn", "pallets.dehire"]
-    assert [k for k in keys if got[k] == "dynamic"] == ["level.one", "error.Z.message"]
-    assert completeness.key_usage(df, code, ["pallets."]).where("status = 'unused'").count() == 1
+    files = [
+        ("plot.vue", "show('plot.size')\nask(\"plot.owner\")\nsay(`plot.free`)"),
+        ("crops.ts", "const row = 'crop_'; title(`season.${month}.name`); other(`${any}.tail`)"),
+        ("long.js", "'" + "q" * 50_000 + "' + 'ab.'"),
+    ]
+    expected = {"plot.size": "used", "plot.owner": "used", "plot.free": "used", "crop_beet": "dynamic", "season.may.name": "dynamic", "ab.cd": "dynamic", "plot": "unused", "x.tail": "unused", "crop": "unused", "fence.gate": "unused"}
+    keys = spark.createDataFrame([(k, i) for i, k in enumerate(expected)], "key string, ord long")
+    code = spark.createDataFrame(files, "path string, content string")
+    assert {r["key"]: r["status"] for r in completeness.key_usage(keys, code).collect()} == expected
+    told = {r["key"]: r["status"] for r in completeness.key_usage(keys, code, ["fence."]).collect()}
+    assert told == expected | {"fence.gate": "dynamic"}
 
 
 def test_terms(spark):

@@ -9,11 +9,25 @@ from glossweave.sources.locales import flatten_json, load_locale_dir, locale_cod
 from glossweave.streaming.incremental import align_stream
 
 EN = {
-    "nav.issues": "Issues & returns", "orders.issue_date": "Issue date", "orders.issued_date": "Issued date", "orders.date": "Date issued", "orders.submit": "Submit order",
-    "orders.submit_btn": "Submit order", "orders.caps": "SUBMIT ORDER", "returns.submit": "Submit order.", "currency": "EUR", "pool.exchange": "Pallet exchange", "pool.note": "Booked by the depot",
-}
-DE = EN | {"nav.issues": "Ausgaben", "orders.issue_date": "Ausgabedatum", "orders.issued_date": "", "orders.submit": "Auftrag senden", "legacy": "Alt"}
-del DE["pool.note"]
+    "plan.title": "Plan of the plot",
+    "plan.frost": "Frost expected tonight",
+    "plan.frost_again": "Frost expected tonight",
+    "plan.frost_loud": "FROST expected tonight",
+    "tool.rake": "Bring back the rake",
+    "tool.rakes": "Bring back the rakes",
+    "unit.kg": "KG",
+    "shed.who": "Mornings by the warden",
+}
+DE = {
+    "plan.title": "Plan der Parzelle",
+    "plan.frost": "",
+    "plan.frost_again": "Heute Nacht Frost",
+    "plan.frost_loud": "Heute Nacht FROST",
+    "tool.rake": "Bring back the rake",
+    "tool.rakes": "Rechen zurückbringen",
+    "unit.kg": "KG",
+    "attic": "Dachboden",
+}
 
 
 @pytest.fixture
@@ -53,14 +67,14 @@ def test_nested_layout(spark, tmp_path):
 def test_scan_command(spark, flat, capsys, tmp_path):
     assert main([flat], spark) == 0
     text = capsys.readouterr().out
-    assert "11 keys" in text and "3 locales" in text and "4 of 11 keys" in text
+    assert "8 keys" in text and "3 locales" in text and "3 of 8 keys" in text
     out = str(tmp_path / "out" / "r.json")
     assert main(["scan", flat, "--format", "both", "--out", out, "--fail-on", "missing,unused"], spark) == 1
     report = json.load(open(out))
     keys = {(r["locale"], r["category"], r["key"]) for r in report["missing_keys"]}
-    assert {("de", "absent", "pool.note"), ("de", "empty", "orders.issued_date"), ("de", "extra", "legacy"), ("de", "untranslated", "pool.exchange")} <= keys
-    assert [m["keys"] for m in report["fuzzy"][0]["members"]] == [["orders.issue_date"], ["orders.issued_date"], ["orders.date"]]
-    assert report["fuzzy"][0]["min_similarity"] == 0.909 and report["summary"]["collapsible_keys"] == 3
+    assert {k for k in keys if k[0] == "de"} == {("de", "absent", "shed.who"), ("de", "empty", "plan.frost"), ("de", "extra", "attic"), ("de", "untranslated", "tool.rake")}
+    assert [m["keys"] for m in report["fuzzy"][0]["members"]] == [["tool.rake"], ["tool.rakes"]]
+    assert report["fuzzy"][0]["min_similarity"] == 0.95 and report["summary"]["collapsible_keys"] == 2
 
 
 @pytest.mark.parametrize("wrong", [["--top", "0"], ["--format", "both"], ["--fuzzy-threshold", "2"], ["--fail-on", "x"], ["--source", "xx"], ["--nope"]])
@@ -69,7 +83,7 @@ def test_wrong_options(spark, flat, wrong):
 
 
 def test_vocab_command(spark, flat, capsys, tmp_path):
-    args = ["vocab", flat, "--min-df", "2", "--cache", str(tmp_path / "c"), "--define", "--domain", "depot"]
+    args = ["vocab", flat, "--min-df", "2", "--cache", str(tmp_path / "c"), "--define", "--domain", "allotments"]
     assert main(args, spark) == 0
     assert "VOCABULARY ESTIMATE" in capsys.readouterr().out
     assert main(args, spark) == 0
@@ -78,7 +92,7 @@ def test_vocab_command(spark, flat, capsys, tmp_path):
 
 def test_cache_and_stream(spark, tmp_path):
     schema = "id long, lang string, src string, tgt string"
-    rows = request_keys(spark.createDataFrame([(1, "de", "Issue date", "Datum"), (2, "de", "Issue date", "Datum"), (3, "fr", "Issue date", "Date")], schema))
+    rows = request_keys(spark.createDataFrame([(1, "de", "Sow date", "Saattag"), (2, "de", "Sow date", "Saattag"), (3, "fr", "Sow date", "Jour")], schema))
     calls = []
 
     def compute(missing):
@@ -90,7 +104,7 @@ def test_cache_and_stream(spark, tmp_path):
     assert through_cache(rows, path, compute).count() == 2
     assert calls == [2, 0]
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"lang": "de", "src": "Issue", "tgt": "Problem"}\n{"lang": "de", "src": "Issue date", "tgt": "Datum"}\n')
+    (tmp_path / "in" / "a.json").write_text('{"lang": "de", "src": "Rake", "tgt": "Harke"}\n{"lang": "de", "src": "Sow date", "tgt": "Saattag"}\n')
     stream = spark.readStream.schema("lang string, src string, tgt string").json(str(tmp_path / "in"))
     align_stream(stream, path, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(path).count() == 3
