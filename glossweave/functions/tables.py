@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -33,3 +33,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def in_order(order: Column, value: Column) -> Column:
     """Aggregate: the values of a group as an array, by `order`."""
     return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
+
+
+def numbered(df: DataFrame, group: list[Column | str], order: list[Column | str], name: str) -> DataFrame:
+    """df with `name`: 0, 1, ... inside each group, in order. The groups' columns must be among df's or made from them.
+
+    Rows are dealt by range, numbered where they lie, and shifted by the counts of the ranges before, so a group isn't one task's."""
+    keys = [f"__group{i}" for i in range(len(group))]
+    made = df.select("*", *[(F.col(g) if isinstance(g, str) else g).alias(k) for g, k in zip(group, keys, strict=True)])
+    by = [*keys, *order]
+    placed = written(made.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33).alias("__part")
+    runs = placed.groupBy(*keys, part).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    back = placed.withColumn("__part", part).join(runs, [*keys, "__part"])
+    return back.withColumn(name, (F.col("__before") + F.col("__at") - F.col("__first")).cast("long")).select(*df.columns, name)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import written
 from ..runtime import ship
 
 # Languages written without spaces, stemmer languages, models and their least link scores.
@@ -210,7 +211,35 @@ def cosine_table(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def mutual_argmax_table(sim: DataFrame) -> DataFrame:
-    """pair, i, j, s of the cells that are first maxima of row and column."""
+    """The cells of sim (pair, i, j, s, ...) that are first maxima of row and column."""
     row = F.row_number().over(Window.partitionBy("pair", "i").orderBy(F.desc("s"), "j"))
     column = F.row_number().over(Window.partitionBy("pair", "j").orderBy(F.desc("s"), "i"))
-    return sim.withColumn("r", row).withColumn("c", column).where("r = 1 and c = 1").select("pair", "i", "j", "s")
+    best = sim.withColumn("row_rank", row).withColumn("column_rank", column).where("row_rank = 1 and column_rank = 1")
+    return best.select("pair", "i", "j", "s", *[c for c in sim.columns if c not in ("pair", "i", "j", "s")])
+
+
+def itermax_table(sim: DataFrame, alpha: float = 0.9) -> DataFrame:
+    """pair, i, j, s of the cells that itermax links in two rounds."""
+    first = written(mutual_argmax_table(sim), "links")
+    taken = sim.join(first.select("pair", "i").withColumn("r", F.lit(1)), ["pair", "i"], "left").join(first.select("pair", "j").withColumn("c", F.lit(1)), ["pair", "j"], "left")
+    sides = 2 - F.coalesce("r", F.lit(0)) - F.coalesce("c", F.lit(0))
+    weighed = taken.withColumn("sides", sides).withColumn("s0", F.col("s")).withColumn("s", F.col("s") * F.least(F.lit(alpha) * F.col("sides"), F.lit(1.0)))
+    # pairs of over two rows and columns in which some row and some column are free
+    sizes = weighed.groupBy("pair").agg(F.countDistinct("i").alias("rows"), F.countDistinct("j").alias("columns"), F.max("sides").alias("most"))
+    again = weighed.join(sizes.where("least(rows, columns) > 2 and most = 2").select("pair"), "pair", "left_semi")
+    more = mutual_argmax_table(again).where("sides > 0").select("pair", "i", "j", F.col("s0").alias("s"))
+    return first.select("pair", "i", "j", "s").unionByName(more)
+
+
+def spans_table(sim: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """pair, i, lo, hi: the span of every linked row over the columns, which count from 0 in the order of j; by grow_spans, a pair a call."""
+    ship(sim.sparkSession)
+    marked = sim.join(links.select("pair", "i", "j", F.lit(True).alias("linked")), ["pair", "i", "j"], "left").select("pair", "i", "j", "s", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+    def spans(cells: pd.DataFrame) -> pd.DataFrame:
+        wide = cells.pivot(index="i", columns="j", values="s"), cells.pivot(index="i", columns="j", values="linked")
+        grown = grow_spans(wide[0].to_numpy(), wide[1].to_numpy().astype(bool), most)
+        return pd.DataFrame([(cells["pair"].iloc[0], i, *s) for i, s in zip(wide[0].index, grown, strict=True) if s is not None], columns=["pair", "i", "lo", "hi"])
+
+    # a pair is two sentences: its cells are one call's
+    return marked.groupBy("pair").applyInPandas(spans, "pair long, i long, lo long, hi long")

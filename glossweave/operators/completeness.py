@@ -18,23 +18,28 @@ FRAGMENT = r"^[\w\-]+(?:\.[\w\-]+)*[._]$"
 def find_missing(strings: DataFrame, locales: DataFrame, source: str, allowed: DataFrame | None = None) -> DataFrame:
     """locale, key, category (absent, empty, untranslated, extra), ord over all targets at once.
 
-    strings: locale, key, value, ord; locales: locale (a locale may have no strings); allowed: value, source values that may stay."""
+    strings: locale, key, value, ord; locales: locale (a locale may have no strings), few enough for a list; allowed: value, source values
+    that may stay. A null value counts as absent."""
     own = strings.where(F.col("locale") == source).select("key", F.col("value").alias("source_value"), F.col("ord").alias("source_ord"))
     targets = locales.where(F.col("locale") != source).select("locale").distinct()
-    theirs = strings.where(F.col("locale") != source).select("locale", "key", "value")
-    # every source key in every target: the result is of that size where nothing is translated
-    grid = own.join(F.broadcast(targets) if targets.count() <= 10_000 else targets)
-    joined = grid.join(theirs, ["locale", "key"], "left")
+    names = [r["locale"] for r in targets.collect()]
+    theirs = strings.where(F.col("locale").isin(names)).select("locale", "key", "value")
+    # a source key is absent from the targets that it isn't in: only keys that some target lacks are held against all targets
+    known = theirs.where("value is not null").groupBy("key").agg(F.collect_set("locale").alias("has"))
+    every = F.array(*map(F.lit, names)).cast("array<string>")
+    lacking = own.join(known, "key", "left").select("key", "source_value", "source_ord", F.explode(F.array_except(every, F.coalesce("has", F.array().cast("array<string>")))).alias("locale"))
+    absent = lacking.select("locale", "key", F.lit("absent").alias("category"), F.col("source_ord").alias("ord"))
+    joined = own.join(theirs.where("value is not null"), "key")
     if allowed is not None:
         joined = joined.join(allowed.select(F.col("value").alias("source_value"), F.lit(True).alias("may_stay")).distinct(), "source_value", "left")
     else:
         joined = joined.withColumn("may_stay", F.lit(None).cast("boolean"))
     other = T.language(F.col("locale")) != T.language(F.lit(source))
     same = other & (F.col("value") == F.col("source_value")) & ~T.is_invariant(F.col("source_value")) & F.col("may_stay").isNull()
-    category = F.when(F.col("value").isNull(), "absent").when(T.is_blank(F.col("value")) & ~T.is_blank(F.col("source_value")), "empty").when(same, "untranslated")
+    category = F.when(T.is_blank(F.col("value")) & ~T.is_blank(F.col("source_value")), "empty").when(same, "untranslated")
     found = joined.select("locale", "key", category.alias("category"), F.col("source_ord").alias("ord")).where("category is not null")
     extra = strings.where(F.col("locale") != source).join(own, "key", "left_anti").select("locale", "key", F.lit("extra").alias("category"), "ord")
-    return found.unionByName(extra)
+    return found.unionByName(absent).unionByName(extra)
 
 
 def missing_counts(missing: DataFrame, locales: DataFrame, source: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -123,9 +123,10 @@ def rendering_clusters(found: DataFrame, example_keys: int = 5) -> DataFrame:
     forms = aligned.groupBy("term", "locale", "cluster", "text").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.first("kept_english").alias("kept_english"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "place", "text", F.col("n").alias("count"))))
     grouped = forms.groupBy("term", "locale", "cluster").agg(F.sum("n").alias("count"), ordered.alias("f"), F.min("place").alias("first"), F.first("kept_english").alias("kept_english"))
-    # the first keys of a cluster: each use gives its keys in order; only the first uses can matter
-    ranked = aligned.select("term", "locale", "cluster", "place", F.slice("keys", 1, example_keys).alias("own"))
-    kept = ranked.groupBy("term", "locale", "cluster").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "own"))), 1, example_keys).alias("lists"))
+    # the first keys of a cluster: each use gives its keys in order, so only the first uses matter; others are dropped before the shuffle
+    use = F.row_number().over(Window.partitionBy("term", "locale", "cluster").orderBy("place"))
+    ranked = aligned.select("term", "locale", "cluster", "place", F.slice("keys", 1, example_keys).alias("own"), use.alias("use")).where(F.col("use") <= example_keys)
+    kept = ranked.groupBy("term", "locale", "cluster").agg(F.array_sort(F.collect_list(F.struct("place", "own"))).alias("lists"))
     keys = kept.select("term", "locale", "cluster", F.slice(F.flatten(F.transform("lists", lambda x: x["own"])), 1, example_keys).alias("example_keys"))
     tidy = F.transform("f", lambda x: F.struct(x["text"].alias("text"), x["count"].alias("count")))
     return grouped.join(keys, ["term", "locale", "cluster"]).select("term", "locale", "cluster", "count", tidy.alias("forms"), "example_keys", "kept_english", "first")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import numbered
 
 
 def fingerprints(strings: DataFrame, locales: DataFrame) -> DataFrame:
@@ -50,9 +51,8 @@ def build_requests(strings: DataFrame, source: str, plan: DataFrame, terms: Data
     joined = joined.withColumn("tgt", T.clean(F.col("target"))).where("tgt <> ''")
     keys = F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"])
     pairs = joined.groupBy("locale", "src", "tgt").agg(keys.alias("keys"), F.min("ord").alias("first"))
-    # ids in one order without one task: numbers inside each locale, after a running count of the locales before it
-    inside = F.row_number().over(Window.partitionBy("locale").orderBy("first"))
+    # ids in one order: numbers inside each locale, after a running count of the locales before it
     counts = pairs.groupBy("locale").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy(*_shortest_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    numbered = pairs.withColumn("inside", inside).join(before, "locale")
-    return numbered.select((F.col("base") + F.col("inside") - 1).cast("long").alias("id"), "locale", T.language(F.col("locale")).alias("lang"), "src", "tgt", "keys")
+    inside = numbered(pairs, ["locale"], ["first"], "inside").join(F.broadcast(before), "locale")
+    return inside.select((F.col("base") + F.col("inside")).cast("long").alias("id"), "locale", T.language(F.col("locale")).alias("lang"), "src", "tgt", "keys")

@@ -6,13 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tables import written
 from ..operators import alignment, completeness, consistency, pairs, redundancy, terms
-from ..sources import locales
+from ..sources import caches, locales
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,12 +64,6 @@ def two_locales(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """value: distinct ASCII sentences of English documents."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.select(F.explode(F.split("text", r"[.\n]+")).alias("value")).where(F.col("value").rlike("^[ -~]+$")).distinct()
-
-
-def all_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """value: distinct sentences of all documents, in any language and script."""
     return table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[.\n]+")).alias("value")).distinct()
 
@@ -99,12 +93,6 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, ord: words that pages have as literals, and part names, which they don't have."""
-    found = part_strings(spark, sf_dir).select(F.concat(F.lit("/p"), "key").alias("key"), "ord").where("ord % 2 = 0")
-    return found.unionByName(spark.createDataFrame([("</p>", -1), ("utf-8", -2), ("/The", -3), ("ad", -4)], "key string, ord long"))
-
-
-def all_page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, ord: words that pages have as literals, and all part keys, which they don't have."""
     found = part_strings(spark, sf_dir).select(F.concat(F.lit("/p"), "key").alias("key"), "ord")
     return found.unionByName(spark.createDataFrame([("</p>", -1), ("utf-8", -2), ("/The", -3), ("ad", -4)], "key string, ord long"))
@@ -129,6 +117,35 @@ def talk_strings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return own.unionByName(theirs), spark.createDataFrame([("en", 0), ("de", 1)], "locale string, ord int")
 
 
+def word_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, lemmas, df, seeded, zipf, label_share: the words of part names as terms."""
+    word = table(spark, sf_dir, "part").select("p_name").distinct().select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    size = F.length("word")
+    return word.select(T.lemma(F.col("word")).alias("id"), F.array(T.lemma(F.col("word"))).alias("lemmas"), "df", F.lit(False).alias("seeded"), (size * 1.0).alias("zipf"), F.when(size % 2 == 0, 0.5).otherwise(0.05).alias("label_share"))
+
+
+def aligned_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests, results, plan): part names, aligned word by word to made-up renderings in three locales. One row in ten scores badly; a
+    word is rendered in one of two ways, the second sometimes with an ending, or kept; words of three letters have one way, those of
+    six are kept."""
+    part = table(spark, sf_dir, "part")
+    locale = F.element_at(F.array(*map(F.lit, ("de", "fr", "pl"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = part.select(F.col("p_partkey").alias("id"), locale.alias("locale"), locale.alias("lang"), F.array(F.col("p_partkey").cast("string")).alias("keys"), F.split("p_name", " ").alias("src_words"), "p_size")
+
+    def rendering(w: Column) -> Column:
+        kind = F.when(F.length(w) == 3, 0).when(F.length(w) == 6, 5).otherwise((F.col("p_size") + F.length(w)) % 6)
+        return F.when(kind < 3, F.concat(F.lit("ka"), F.reverse(w))).when(kind == 3, F.concat(F.lit("zo"), F.reverse(w))).when(kind == 4, F.concat(F.lit("zo"), F.reverse(w), F.lit("n"))).otherwise(w)
+
+    units = F.transform("src_words", rendering)
+    at = lambda value: F.transform("src_words", lambda _, i: value(i))
+    results = rows.select(
+        "id", "src_words", units.alias("tgt_units"), units.alias("tgt_stems"), F.lit(" ").alias("joiner"), at(lambda i: F.struct(i.alias("i"), i.alias("j"))).alias("links"),
+        at(lambda i: F.struct(i.alias("lo"), i.alias("hi"))).alias("spans"), at(lambda i: F.when(F.col("id") % 10 == 0, 0.3).otherwise(0.8)).alias("scores"),
+    )
+    plan = spark.createDataFrame([(x, x, "rep") for x in ("de", "fr", "pl")] + [("de-at", "de", "alias")], "locale string, rep string, role string")
+    return rows.select("id", "locale", "lang", "keys"), results, plan
+
+
 # --- queries ------------------------------------------------------------------------------------------------------------------
 
 
@@ -205,11 +222,6 @@ def sentence_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = decorated_strings(spark, sf_dir)
-    return redundancy.summary(own, redundancy.find_duplicates(own), redundancy.find_variants(own), None)
-
-
-def full_scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = decorated_strings(spark, sf_dir)
     return redundancy.summary(own, redundancy.find_duplicates(own), redundancy.find_variants(own), redundancy.find_fuzzy(own))
 
@@ -233,15 +245,15 @@ def unused_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences(spark, sf_dir).select(F.explode(T.words(F.col("value"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return text_word_uses(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences(spark, sf_dir).select(F.explode(T.words(F.col("value"))).alias("word")).distinct().select("word", T.lemma(F.col("word")).alias("lemma"))
+    return text_word_uses(spark, sf_dir).distinct().select("word", T.lemma(F.col("word")).alias("lemma"))
 
 
 def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.gram_counts(terms.gram_uses(part_strings(spark, sf_dir))).select("id", F.col("n").cast("long").alias("n"), "df", "labels")
+    return terms.gram_counts(part_strings(spark, sf_dir)).select("id", F.col("n").cast("long").alias("n"), "df", "labels")
 
 
 def term_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,29 +262,7 @@ def term_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subsumed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = written(terms.gram_counts(terms.gram_uses(sentences(spark, sf_dir))), "counts")
-    return terms.subsumed(terms.candidates(counts, terms.seed_ids(spark, []), 2))
-
-
-def all_key_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return completeness.key_usage(all_page_keys(spark, sf_dir), code(spark, sf_dir)).select("key", "status")
-
-
-def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_word_uses(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
-
-
-def text_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_word_uses(spark, sf_dir).distinct().select("word", T.lemma(F.col("word")).alias("lemma"))
-
-
-def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = terms.extract_terms(all_sentences(spark, sf_dir), ["Thisword neverseen"], 3)
-    return found.select("id", "df", "seeded", "label_share")
-
-
-def text_subsumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = written(terms.gram_counts(terms.gram_uses(all_sentences(spark, sf_dir))), "counts")
+    counts = written(terms.gram_counts(sentences(spark, sf_dir)), "counts")
     return terms.subsumed(terms.candidates(counts, terms.seed_ids(spark, []), 2))
 
 
@@ -284,35 +274,55 @@ def locale_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.plan_locales(strings.unionByName(twin).unionByName(british), codes, "en")
 
 
-def _talk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(terms, plan, requests) of the conversations."""
+def align_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strings, codes = two_locales(spark, sf_dir)
+    plan = pairs.plan_locales(strings, codes, "en")
+    found = pairs.build_requests(strings, "en", plan, word_terms(spark, sf_dir))
+    return found.select("id", "locale", "lang", "src", "tgt", F.size("keys").cast("long").alias("n_keys"))
+
+
+def align_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings, codes = talk_strings(spark, sf_dir)
     known = written(terms.extract_terms(strings.where("locale = 'en'"), [], 5, 2), "terms")
-    plan = written(pairs.plan_locales(strings, codes, "en"), "plan")
-    return known, plan, written(pairs.build_requests(strings, "en", plan, known), "requests")
+    found = alignment.align(written(pairs.build_requests(strings, "en", pairs.plan_locales(strings, codes, "en"), known), "requests"))
+    return found.select("id", F.size("src_words").alias("words"), F.size("links").alias("links"), F.size(F.filter("spans", lambda s: s.isNotNull())).alias("spans"))
 
 
-def align_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _talk(spark, sf_dir)[2].select("id", "locale", "lang", "src", "tgt", F.size("keys").cast("long").alias("n_keys"))
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests, results, _ = aligned_parts(spark, sf_dir)
+    return consistency.term_occurrences(requests, results, word_terms(spark, sf_dir))
 
 
-def align_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = alignment.align(_talk(spark, sf_dir)[2])
-    return found.select("id", F.size("src_words").alias("words"), F.size("links").alias("links"), F.size(F.filter("spans", lambda s: s.isNotNull())).alias("spans"))
+def term_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _occurrences(spark, sf_dir).select("term", "id", "locale", F.col("start").cast("long").alias("start"))
+
+
+def renderings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistency.renderings(_occurrences(spark, sf_dir)).select("term", "locale", "id", F.col("start").cast("long").alias("start"), "text", "cluster", "kept_english")
+
+
+def rendering_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = consistency.rendering_clusters(consistency.renderings(_occurrences(spark, sf_dir)))
+    return found.select("term", "locale", "cluster", "count", F.size("forms").cast("long").alias("n_forms"), F.array_join("example_keys", ",").alias("example_keys"), "kept_english")
+
+
+def merged_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = consistency.merged_clusters(consistency.rendering_clusters(consistency.renderings(_occurrences(spark, sf_dir))))
+    return found.select("term", "locale", F.explode("clusters").alias("c")).select("term", "locale", F.col("c.key").alias("cluster"), F.col("c.count").alias("count"), F.size("c.forms").cast("long").alias("n_forms"))
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    known, plan, requests = _talk(spark, sf_dir)
-    options = consistency.Options(least_score={alignment.DEFAULT_MODEL: 0.2}, flagged=1)
-    return consistency.measure(known, requests, written(alignment.align(requests), "results"), plan, options)
+    requests, results, plan = aligned_parts(spark, sf_dir)
+    return consistency.measure(word_terms(spark, sf_dir), requests, results, plan)
 
 
 def term_locale_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _measured(spark, sf_dir)[1].select("term", "locale", "occurrences", "unaligned", F.size("clusters").alias("clusters"), "dominant_share", "kept_english_share", "multiple")
+    found = _measured(spark, sf_dir)[1].withColumn("aliases", F.array_join("aliases", ",")).withColumn("n_clusters", F.size("clusters").cast("long"))
+    return found.select("term", "locale", "aliases", "occurrences", "unaligned", "n_clusters", "dominant_share", "kept_english_share", "multiple")
 
 
 def term_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _measured(spark, sf_dir)[0].drop("surfaces")
+    return _measured(spark, sf_dir)[0]
 
 
 def glossary_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +330,14 @@ def glossary_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glossary_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consistency.rank_for_glossary(_measured(spark, sf_dir)[0]).select("term", "tier", "score")
+    return consistency.rank_for_glossary(_measured(spark, sf_dir)[0]).select("term", "tier", T.round_half_up(F.col("score"), 6).alias("score"))
+
+
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of part names and types, half of them in a cache."""
+    part = table(spark, sf_dir, "part").select(F.lit("de").alias("lang"), F.col("p_name").alias("src"), F.col("p_type").alias("tgt"), "p_partkey")
+    keyed = alignment.request_keys(part)
+    return caches.misses(keyed, keyed.where("p_partkey % 2 = 0").select("k").distinct()).select("src", "tgt").distinct()
 
 
 def cosine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,10 +348,23 @@ def mutual_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.mutual_argmax_table(similarities(spark, sf_dir)).select("pair", "i", "j", T.round_half_up(F.col("s"), 4).alias("s"))
 
 
+def itermax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.itermax_table(similarities(spark, sf_dir)).select("pair", "i", "j", T.round_half_up(F.col("s"), 4).alias("s"))
+
+
+def grow_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans over even vectors (words) and odd ones (units) of a label, each numbered from 0."""
+    sim = similarities(spark, sf_dir)
+    return alignment.spans_table(sim, alignment.mutual_argmax_table(sim), 2)
+
+
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Props of events as locale files: their leaves are numbers, so each is a skipped leaf."""
-    files = table(spark, sf_dir, "events").select(F.lit("en").alias("locale"), F.col("event_id").cast("string").alias("path"), F.lit("").alias("prefix"), F.col("event_id").alias("ord"), F.encode("props", "UTF-8").alias("content"))
-    return locales.flattened(files).groupBy("kind", "key", "value").agg(F.count("*").alias("n"))
+    """Documents as JSON files with nested objects, numbers, arrays and nulls."""
+    docs = table(spark, sf_dir, "documents")
+    inner = F.struct("lang", F.col("n_chars").alias("size"), F.array("source").alias("tags"), F.struct(F.col("text").alias("body")).alias("deep"))
+    data = F.to_json(F.struct("source", inner.alias("meta"), (F.col("n_chars") > 100).alias("long"), F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"})
+    files = docs.select(F.lit("en").alias("locale"), F.col("doc_id").cast("string").alias("path"), F.lit("d").alias("prefix"), F.col("doc_id").alias("ord"), F.encode(data, "UTF-8").alias("content"))
+    return locales.flattened(files).select(F.col("file_ord").alias("ord"), "kind", "key", F.md5(F.encode("value", "UTF-8")).alias("value_md5"))
 
 
 def locale_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,9 +380,10 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     exact_duplicates, variant_groups, variant_kind_counts, normalised_values, masked_placeholders, strip_placeholders, invariant_values,
     blocking_postings, candidate_pairs, fuzzy_edges, fuzzy_components, sentence_postings, sentence_pairs,
-    sentence_edges, sentence_components, scan_summary, full_scan_summary, missing_keys, missing_counts, string_literals,
-    unused_keys, all_key_usage, words_tokens, text_words, lemmas, text_lemmas, ngram_df, term_list, text_terms, subsumed_terms, text_subsumed, locale_plan, align_requests, align_results,
-    term_locale_stats, term_tiers, glossary_estimate, glossary_rank, cosine_matrix, mutual_argmax, json_flatten, locale_codes, cache_keys,
+    sentence_edges, sentence_components, scan_summary, missing_keys, missing_counts, string_literals,
+    unused_keys, words_tokens, lemmas, ngram_df, term_list, subsumed_terms, locale_plan, align_requests, align_results,
+    term_occurrences, renderings, rendering_clusters, merged_clusters, term_locale_stats, term_tiers, glossary_estimate, glossary_rank,
+    cosine_matrix, mutual_argmax, itermax, grow_spans, json_flatten, locale_codes, cache_keys, cache_misses,
 )}
 
 # --- SQL ----------------------------------------------------------------------------------------------------------------------
@@ -367,9 +398,11 @@ _MARKED = """m AS (SELECT CAST(p_partkey AS VARCHAR) AS key, CASE p_partkey % 8
     WHEN 5 THEN 'https://example.org/' || p_partkey WHEN 6 THEN 'OK' ELSE p_name END AS value, p_partkey AS ord FROM part)"""
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(value, '\{\{\s*[\w.]+\s*\}\}|\{\s*[\w.]+\s*\}|%(?:\d+\$)?[sdif@]|</?[a-z][^>]*>|&[a-z]+;|&#\d+;', ' ', 'gi'),
     'https?://\S+', ' ', 'g'), '\s+', ' ', 'g'))"""
-_SENTENCES = r"""v AS (SELECT DISTINCT value FROM (SELECT unnest(regexp_split_to_array(text, '[.\n]+')) AS value FROM documents WHERE lang = 'en')
-    WHERE regexp_full_match(value, '[ -~]+'))"""
-_WORDS = r"""regexp_extract_all(value, '[\p{L}\p{N}\p{M}]+(?:[''\-][\p{L}\p{N}\p{M}]+)*')"""
+_SENTENCES = r"v AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[.\n]+')) AS value FROM documents)"
+#: Words of any text: without placeholders; words and lemmas have plain apostrophes.
+_WORDS = rf"""regexp_extract_all({_CLEAN}, '[\p{{L}}\p{{N}}\p{{M}}]+(?:[''’\-][\p{{L}}\p{{N}}\p{{M}}]+)*')"""
+_LOWER = "replace(lower({0}), '’', '''')"
+_TEXT_WORDS = f"t AS (SELECT unnest({_WORDS}) AS word FROM (SELECT text AS value FROM documents))"
 _LEMMA = """CASE WHEN length(w) <= 3 OR regexp_matches(w, '[0-9]') THEN w
     WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y'
     WHEN regexp_matches(w, '(ss|sh|ch|x|z|us)es$') THEN left(w, length(w) - 2)
@@ -381,7 +414,7 @@ _INNER = ", ".join(f"'{w}'" for w in T.INNER)
 def _grams(source: str, most: int) -> str:
     """CTEs up to g(value, id, n, words): candidate grams of the distinct values of `source`."""
     return f"""w AS (SELECT value, {_WORDS} AS ws FROM (SELECT DISTINCT value FROM {source})),
-        l AS (SELECT value, list_transform(list_transform(ws, lambda x: lower(x)), lambda w: {_LEMMA}) AS ls FROM w),
+        l AS (SELECT value, list_transform(list_transform(ws, lambda x: {_LOWER.format('x')}), lambda w: {_LEMMA}) AS ls FROM w),
         e AS (SELECT value, ls, len(ls) AS words, unnest(range(1, {most + 1})) AS n FROM l),
         f AS (SELECT value, ls, words, n, unnest(range(1, words - n + 2)) AS i FROM e WHERE n <= words),
         h AS (SELECT value, words, n, ls[i:i + n - 1] AS gram FROM f),
@@ -421,11 +454,44 @@ _COSINES = """s AS (SELECT a.label AS pair, a.vec_id AS i, b.vec_id AS j,
     FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a JOIN (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b
     ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)"""
 
-#: Words and lemmas of any text: without placeholders, and with typographic apostrophes.
-_ALL_SENTENCES = r"v AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[.\n]+')) AS value FROM documents)"
-_ALL_WORDS = rf"""regexp_extract_all({_CLEAN}, '[\p{{L}}\p{{N}}\p{{M}}]+(?:[''’\-][\p{{L}}\p{{N}}\p{{M}}]+)*')"""
-_ALL_LOWER = "replace(lower({0}), '’', '''')"
-_TEXT_WORDS = f"t AS (SELECT unnest({_ALL_WORDS}) AS word FROM (SELECT text AS value FROM documents))"
+_CANDIDATES = f"""{_SENTENCES}, {_grams('v', 3)},
+    q AS (SELECT id, df, unnest(string_split(id, ' ')) AS word FROM c WHERE n > 1 AND df >= @least),
+    rare AS (SELECT q.id, min(coalesce(u.df, q.df)) AS rarest FROM q LEFT JOIN (SELECT id, df FROM c WHERE n = 1) u ON u.id = q.word WHERE q.word NOT IN ({_INNER}) GROUP BY q.id),
+    t AS (SELECT c.* FROM c LEFT JOIN rare USING (id) WHERE df >= @least AND (n = 1 OR (labels > 0 AND CAST(df AS DOUBLE) / rarest >= CAST(0.3 AS DOUBLE)))),
+    i AS (SELECT df, string_split(id, ' ') AS ws, n, unnest(range(1, n)) AS m FROM t), j AS (SELECT df, ws, n, m, unnest(range(1, n - m + 2)) AS a FROM i),
+    x AS (SELECT DISTINCT t.id FROM j JOIN t ON t.id = array_to_string(ws[a:a + m - 1], ' ') WHERE j.df >= CAST(0.9 AS DOUBLE) * t.df)"""
+
+_TERMS = f"""tw AS (SELECT unnest(string_split(p_name, ' ')) AS w FROM (SELECT DISTINCT p_name FROM part)),
+    terms AS (SELECT {_LEMMA} AS term, count(*) AS df, length(w)::DOUBLE AS zipf, CASE WHEN length(w) % 2 = 0 THEN 0.5::DOUBLE ELSE 0.05::DOUBLE END AS label_share FROM tw GROUP BY w)"""
+_RENDERED = f"""{_TERMS},
+    a AS (SELECT p_partkey AS id, ['de', 'fr', 'pl'][p_partkey % 3 + 1] AS locale, string_split(p_name, ' ') AS ws, p_size, p_partkey % 10 <> 0 AS good FROM part),
+    u AS (SELECT id, locale, p_size, good, ws, unnest(range(1, len(ws) + 1)) AS k FROM a), y AS (SELECT *, ws[k] AS w FROM u),
+    z AS (SELECT *, {_LEMMA} AS term, CASE length(w) WHEN 3 THEN 0 WHEN 6 THEN 5 ELSE (p_size + length(w)) % 6 END AS kind FROM y),
+    occ AS (SELECT term, id, locale, k - 1 AS start, kind, CASE WHEN good THEN CASE WHEN kind < 3 THEN 'ka' || reverse(w) WHEN kind = 3 THEN 'zo' || reverse(w)
+        WHEN kind = 4 THEN 'zo' || reverse(w) || 'n' ELSE w END END AS text FROM z WHERE term IN (SELECT term FROM terms)),
+    ren AS (SELECT term, locale, id, start, kind, text, CASE WHEN text IS NOT NULL THEN CASE WHEN kind = 5 THEN '=en' ELSE text END END AS cluster, CASE WHEN text IS NOT NULL THEN kind = 5 END AS kept_english FROM occ)"""
+_MERGED = f"""{_RENDERED},
+    merged AS (SELECT term, locale, arg_min(cluster, length(cluster)) AS cluster, count(*) AS count, count(DISTINCT text) AS n_forms, bool_or(kept_english) AS kept FROM ren
+        WHERE cluster IS NOT NULL GROUP BY term, locale, CASE WHEN kind IN (3, 4) THEN 'zo' ELSE cluster END)"""
+_ROUND = "floor(({0}) * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE"
+_STATS = f"""{_MERGED},
+    uses AS (SELECT term, locale, count(cluster) AS occurrences, count(*) - count(cluster) AS unaligned FROM ren GROUP BY ALL),
+    told AS (SELECT term, locale, count(*) AS n_clusters, coalesce(sum(count) FILTER (NOT kept), 0) AS n, coalesce(max(count) FILTER (NOT kept), 0) AS best FROM merged GROUP BY ALL),
+    often AS (SELECT term, locale, count(*) AS ways FROM merged JOIN told USING (term, locale) WHERE NOT kept AND count >= greatest(3, ceil(CAST(0.2 AS DOUBLE) * n)) GROUP BY ALL),
+    stats AS (SELECT term, locale, CASE locale WHEN 'de' THEN 'de-at' ELSE '' END AS aliases, occurrences, unaligned, coalesce(n_clusters, 0) AS n_clusters,
+        CASE WHEN n > 0 THEN {_ROUND.format('best::DOUBLE / n')} ELSE 0 END AS dominant_share,
+        CASE WHEN occurrences > 0 THEN {_ROUND.format('(occurrences - coalesce(n, 0))::DOUBLE / occurrences')} ELSE 0 END AS kept_english_share,
+        coalesce(n >= 5 AND ways >= 2, false) AS multiple FROM uses LEFT JOIN told USING (term, locale) LEFT JOIN often USING (term, locale))"""
+_TIERS = f"""{_STATS},
+    sums AS (SELECT term, count(*) FILTER (e) AS locales_evaluated, count(*) FILTER (e AND multiple) AS locales_flagged, coalesce({_ROUND.format('avg(dominant_share) FILTER (e)')}, 0) AS consistency,
+        count(*) FILTER (occurrences > 0) AS with_data, coalesce({_ROUND.format('avg(kept_english_share) FILTER (occurrences > 0)')}, 0) AS kept_english_share
+        FROM (SELECT *, occurrences * (1 - kept_english_share) >= 5 AS e FROM stats) GROUP BY term),
+    tiers AS (SELECT term, df, false AS seeded, zipf, label_share, kept_english_share, CASE WHEN with_data >= 3 AND kept_english_share >= 0.5 THEN 'keep-english'
+        WHEN locales_evaluated < 3 AND zipf < 3.5 THEN 'jargon' WHEN locales_evaluated < 3 THEN 'insufficient'
+        WHEN locales_flagged >= 3 AND locales_flagged::DOUBLE / locales_evaluated >= 0.25 THEN CASE WHEN label_share >= 0.15 THEN 'ambiguous' ELSE 'phrasing' END
+        WHEN zipf < 3.5 THEN 'jargon' ELSE 'stable' END AS tier, locales_evaluated, locales_flagged, consistency FROM terms JOIN sums USING (term))"""
+_FIRST_LINKS = f"""{_COSINES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY s DESC, j) AS a, row_number() OVER (PARTITION BY pair, j ORDER BY s DESC, i) AS b FROM s),
+    links AS (SELECT pair, i, j, s FROM ranked WHERE a = 1 AND b = 1)"""
 
 ORACLE_SQL: dict[str, str] = {
     "exact_duplicates": "SELECT p_name AS value, n AS n_keys, CAST(p_partkey AS VARCHAR) AS key FROM (SELECT *, count(*) OVER (PARTITION BY p_name) AS n FROM part) WHERE n > 1 AND trim(p_name) <> ''",
@@ -446,52 +512,72 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT DISTINCT a, a AS b FROM ways UNION SELECT r.a, ways.b FROM r JOIN ways ON r.b = ways.a), m AS (SELECT a AS node, min(b) AS root FROM r GROUP BY a),
         k AS (SELECT root, floor(min(similarity) * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE AS min_similarity FROM edges JOIN m ON node = a GROUP BY root)
         SELECT node, root, min_similarity FROM m JOIN k USING (root)""",
-    "scan_summary": f"""WITH {_STAGED}, x AS (SELECT key, norm, value, count(*) OVER (PARTITION BY value) > 1 AS d FROM s),
-        v AS (SELECT norm FROM s GROUP BY norm HAVING count(DISTINCT value) > 1), y AS (SELECT *, norm IN (SELECT norm FROM v) AS v FROM x)
-        SELECT count(*) FILTER (d) AS duplicate_keys, count(*) FILTER (v) AS variant_keys, 0::BIGINT AS fuzzy_keys, count(*) FILTER (d OR v) AS duplicate_or_variant_keys,
-        count(*) FILTER (d OR v) AS redundant_keys, count(DISTINCT CASE WHEN d THEN value END) AS duplicate_groups, (SELECT count(*) FROM v) AS variant_groups, 0::BIGINT AS fuzzy_groups,
-        count(*) AS source_keys, count(*) - count(DISTINCT norm) AS collapsible_keys, floor(CAST(count(*) FILTER (d OR v) AS DOUBLE) / count(*) * 100 * 10 + 0.5) / 10.0::DOUBLE AS duplicate_or_variant_percent,
-        floor(CAST(count(*) FILTER (d OR v) AS DOUBLE) / count(*) * 100 * 10 + 0.5) / 10.0::DOUBLE AS redundant_percent FROM y""",
+    "scan_summary": f"""WITH RECURSIVE {_STAGED}, {_EDGES.replace('FROM z)', 'FROM d)')}, ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+        r AS (SELECT DISTINCT a, a AS b FROM ways UNION SELECT r.a, ways.b FROM r JOIN ways ON r.b = ways.a), m AS (SELECT a AS node, min(b) AS root FROM r GROUP BY a),
+        fuzzy AS (SELECT nodes.norm, root FROM m JOIN nodes USING (node)), x AS (SELECT key, norm, value, count(*) OVER (PARTITION BY value) > 1 AS d FROM s),
+        v AS (SELECT norm FROM s GROUP BY norm HAVING count(DISTINCT value) > 1),
+        y AS (SELECT *, norm IN (SELECT norm FROM v) AS v, norm IN (SELECT norm FROM fuzzy) AS f FROM x)
+        SELECT count(*) FILTER (d) AS duplicate_keys, count(*) FILTER (v) AS variant_keys, count(*) FILTER (f) AS fuzzy_keys, count(*) FILTER (d OR v) AS duplicate_or_variant_keys,
+        count(*) FILTER (d OR v OR f) AS redundant_keys, count(DISTINCT CASE WHEN d THEN value END) AS duplicate_groups, (SELECT count(*) FROM v) AS variant_groups,
+        (SELECT count(DISTINCT root) FROM fuzzy) AS fuzzy_groups, count(*) AS source_keys, count(*) - count(DISTINCT norm) AS collapsible_keys,
+        floor(CAST(count(*) FILTER (d OR v) AS DOUBLE) / count(*) * 100 * 10 + 0.5) / 10.0::DOUBLE AS duplicate_or_variant_percent,
+        floor(CAST(count(*) FILTER (d OR v OR f) AS DOUBLE) / count(*) * 100 * 10 + 0.5) / 10.0::DOUBLE AS redundant_percent FROM y""",
     "missing_keys": f"WITH {_TWO} SELECT * FROM found WHERE category IS NOT NULL",
     "missing_counts": f"""WITH {_TWO} SELECT 'de' AS locale, false AS same_language, count(*) FILTER (category = 'absent') AS absent, count(*) FILTER (category = 'empty') AS empty,
         count(*) FILTER (category = 'untranslated') AS untranslated, count(*) FILTER (category = 'extra') AS extra FROM found""",
     "string_literals": f"WITH {_LITERALS} SELECT quote, body, count(*) AS n FROM lit GROUP BY ALL",
-    "unused_keys": rf"""WITH {_LITERALS}, keys AS (SELECT '/p' || p_partkey AS key FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT unnest(['</p>', 'utf-8', '/The', 'ad'])),
+    "unused_keys": rf"""WITH {_LITERALS}, keys AS (SELECT '/p' || p_partkey AS key FROM part UNION ALL SELECT unnest(['</p>', 'utf-8', '/The', 'ad'])),
         p AS (SELECT body AS prefix FROM lit WHERE quote <> '`' AND regexp_full_match(body, '[\w\-]+(?:\.[\w\-]+)*[._]') UNION SELECT left(body, instr(body, '${{') - 1) FROM lit WHERE quote = '`' AND instr(body, '${{') > 1)
         SELECT key, CASE WHEN key IN (SELECT body FROM lit WHERE quote <> '`' OR instr(body, '${{') = 0) THEN 'used'
         WHEN EXISTS (SELECT 1 FROM p WHERE length(prefix) >= 3 AND starts_with(key, prefix)) THEN 'dynamic' ELSE 'unused' END AS status FROM keys""",
-    "words_tokens": f"WITH {_SENTENCES}, t AS (SELECT unnest({_WORDS}) AS word FROM v) SELECT word, count(*) AS n FROM t GROUP BY word",
-    "lemmas": f"WITH {_SENTENCES}, t AS (SELECT DISTINCT unnest({_WORDS}) AS word FROM v), u AS (SELECT word, lower(word) AS w FROM t) SELECT word, {_LEMMA} AS lemma FROM u",
+    "words_tokens": f"WITH {_TEXT_WORDS} SELECT word, count(*) AS n FROM t GROUP BY word",
+    "lemmas": f"WITH {_TEXT_WORDS}, u AS (SELECT DISTINCT word, {_LOWER.format('word')} AS w FROM t) SELECT word, {_LEMMA} AS lemma FROM u",
     "ngram_df": f"WITH p AS (SELECT p_name AS value FROM part), {_grams('p', 3)} SELECT id, n, df, labels FROM c",
-    "term_list": f"""WITH {_SENTENCES}, {_grams('v', 3)},
-        k AS (SELECT c.*, (SELECT min(coalesce(u.df, c.df)) FROM (SELECT unnest(string_split(c.id, ' ')) AS word) q LEFT JOIN (SELECT id, df FROM c WHERE n = 1) u ON u.id = q.word WHERE q.word NOT IN ({_INNER})) AS rarest FROM c),
-        t AS (SELECT * FROM k WHERE df >= 3 AND (n = 1 OR (labels > 0 AND CAST(df AS DOUBLE) / rarest >= CAST(0.3 AS DOUBLE)))),
-        i AS (SELECT t.df, string_split(t.id, ' ') AS ws, t.n, unnest(range(1, t.n)) AS m FROM t), j AS (SELECT df, ws, n, m, unnest(range(1, n - m + 2)) AS a FROM i),
-        x AS (SELECT DISTINCT t.id FROM j JOIN t ON t.id = array_to_string(ws[a:a + m - 1], ' ') WHERE j.df >= CAST(0.9 AS DOUBLE) * t.df)
+    "term_list": f"""WITH {_CANDIDATES.replace('@least', '3')}
         SELECT id, df, false AS seeded, floor(CAST(labels AS DOUBLE) / df * 100 + 0.5) / 100.0::DOUBLE AS label_share FROM t WHERE id NOT IN (SELECT id FROM x)
         UNION ALL SELECT 'thisword neverseen', 0, true, 0.0""",
+    "subsumed_terms": f"WITH {_CANDIDATES.replace('@least', '2')} SELECT id FROM x",
     "cosine_matrix": f"WITH {_COSINES} SELECT pair, i, j, floor(s * 1e4 + 0.5) / 1e4 AS s FROM s",
     "mutual_argmax": f"""WITH {_COSINES}, r AS (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY s DESC, j) AS a, row_number() OVER (PARTITION BY pair, j ORDER BY s DESC, i) AS b FROM s)
         SELECT pair, i, j, floor(s * 1e4 + 0.5) / 1e4 AS s FROM r WHERE a = 1 AND b = 1""",
     "locale_codes": "SELECT n_nationkey, CASE WHEN regexp_full_match(n_name, '[A-Za-z]{2,3}([-_][A-Za-z0-9]{2,8})*') THEN lower(replace(n_name, '_', '-')) END AS locale FROM nation",
     "cache_keys": "SELECT DISTINCT p_name AS src, p_type AS tgt, sha1(concat_ws(chr(31), '3', 'bert-base-multilingual-cased', '8', 'itermax', 'de', p_name, p_type)) AS k FROM part",
+    "cache_misses": "SELECT p_name AS src, p_type AS tgt FROM part EXCEPT SELECT p_name, p_type FROM part WHERE p_partkey % 2 = 0",
+    "masked_placeholders": rf"""WITH {_MARKED}, k AS (SELECT key, regexp_replace(regexp_replace(value, '</?[a-z][^>]*>|&[a-z]+;|&#\d+;', ' ', 'gi'),
+        '\{{\{{\s*[\w.]+\s*\}}\}}|[$%]\{{\s*[\w.]+\s*\}}|\{{\s*[\w.]+\s*\}}|%(?:\d+\$)?[sdif@]', chr(57344), 'gi') AS value FROM m)
+        SELECT key, trim(regexp_replace(lower(value), '[^\p{{L}}\p{{N}}\p{{M}}\x{{E000}}]+', ' ', 'g')) AS norm FROM k""",
+    "locale_plan": f"""WITH {_TWO}, c AS (SELECT locale, string_agg(key || '=' || value, '|' ORDER BY key) AS content FROM (SELECT unnest(['de', 'de-at']) AS locale, key, value FROM de) GROUP BY locale
+        UNION ALL SELECT 'fr', NULL), r AS (SELECT locale, first_value(locale) OVER (PARTITION BY content ORDER BY length(locale), locale) AS rep FROM c)
+        SELECT locale, rep, CASE WHEN rep = locale THEN 'rep' ELSE 'alias' END AS role, NULL::VARCHAR AS reason FROM r UNION ALL SELECT 'en-gb', NULL, 'skipped', 'same language as source'""",
+    "align_requests": f"""WITH {_TWO}, p AS (SELECT en.value AS src, de.value AS tgt, min(CAST(key AS BIGINT)) AS first, count(*) AS n_keys FROM en JOIN de USING (key)
+        WHERE trim(de.value) <> '' AND de.value <> en.value GROUP BY ALL) SELECT row_number() OVER (ORDER BY first) - 1 AS id, 'de' AS locale, 'de' AS lang, src, tgt, n_keys FROM p""",
+    "term_occurrences": f"WITH {_RENDERED} SELECT term, id, locale, start FROM ren",
+    "renderings": f"WITH {_RENDERED} SELECT term, locale, id, start, text, cluster, kept_english FROM ren",
+    "rendering_clusters": f"""WITH {_RENDERED} SELECT term, locale, cluster, count(*) AS count, count(DISTINCT text) AS n_forms,
+        array_to_string((list(CAST(id AS VARCHAR) ORDER BY id, start))[1:5], ',') AS example_keys, bool_or(kept_english) AS kept_english FROM ren WHERE cluster IS NOT NULL GROUP BY term, locale, cluster""",
+    "merged_clusters": f"WITH {_MERGED} SELECT term, locale, cluster, count, n_forms FROM merged",
+    "term_locale_stats": f"WITH {_STATS} SELECT * FROM stats",
+    "term_tiers": f"WITH {_TIERS} SELECT * FROM tiers",
+    "glossary_estimate": f"""WITH {_TIERS}, names AS (SELECT unnest(['candidates', {', '.join(f"'tier:{x}'" for x in consistency.TIERS)}, {', '.join(f"'glossary:{c}'" for c in consistency.CUTOFFS)}]) AS name)
+        SELECT name, count(tier) AS n FROM names LEFT JOIN tiers ON name = 'candidates' OR name = 'tier:' || tier
+        OR (tier IN ('ambiguous', 'jargon') AND starts_with(name, 'glossary:') AND df >= TRY_CAST(split_part(name, ':', 2) AS INTEGER)) GROUP BY name""",
+    "glossary_rank": f"""WITH {_TIERS} SELECT term, tier, floor(CASE tier WHEN 'ambiguous' THEN 10 + locales_flagged::DOUBLE / greatest(locales_evaluated, 1) * log10(df + 10.0::DOUBLE) * least(1.0::DOUBLE, label_share * 2)
+        ELSE 1.0::DOUBLE END * 1e6 + 0.5) / 1e6 AS score FROM tiers WHERE tier IN ('ambiguous', 'jargon')""",
+    "itermax": f"""WITH {_FIRST_LINKS}, w AS (SELECT s.*, 2 - (r.i IS NOT NULL)::INT - (k.j IS NOT NULL)::INT AS sides FROM s
+            LEFT JOIN links r ON r.pair = s.pair AND r.i = s.i LEFT JOIN links k ON k.pair = s.pair AND k.j = s.j),
+        e AS (SELECT pair FROM w GROUP BY pair HAVING least(count(DISTINCT i), count(DISTINCT j)) > 2 AND max(sides) = 2),
+        v AS (SELECT *, s * least(CAST(0.9 AS DOUBLE) * sides, 1) AS t FROM w WHERE pair IN (SELECT pair FROM e)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY t DESC, j) AS a, row_number() OVER (PARTITION BY pair, j ORDER BY t DESC, i) AS b FROM v)
+        SELECT pair, i, j, floor(s * 1e4 + 0.5) / 1e4 AS s FROM (SELECT pair, i, j, s FROM links UNION ALL SELECT pair, i, j, s FROM k WHERE a = 1 AND b = 1 AND sides > 0)""",
+    "grow_spans": f"""WITH {_FIRST_LINKS}, place AS (SELECT pair, j, row_number() OVER (PARTITION BY pair ORDER BY j) - 1 AS at FROM (SELECT DISTINCT pair, j FROM s)),
+        loose AS (SELECT r.pair, p.at, r.i FROM ranked r JOIN place p ON p.pair = r.pair AND p.j = r.j LEFT JOIN links k ON k.pair = r.pair AND k.j = r.j WHERE r.b = 1 AND k.j IS NULL),
+        own AS (SELECT k.pair, k.i, p.at FROM links k JOIN place p ON p.pair = k.pair AND p.j = k.j)
+        SELECT o.pair, o.i, o.at - CASE WHEN l1.i IS NULL THEN 0 WHEN l2.i IS NULL THEN 1 ELSE 2 END AS lo, o.at + CASE WHEN h1.i IS NULL THEN 0 WHEN h2.i IS NULL THEN 1 ELSE 2 END AS hi FROM own o
+        LEFT JOIN loose l1 ON l1.pair = o.pair AND l1.i = o.i AND l1.at = o.at - 1 LEFT JOIN loose l2 ON l2.pair = o.pair AND l2.i = o.i AND l2.at = o.at - 2
+        LEFT JOIN loose h1 ON h1.pair = o.pair AND h1.i = o.i AND h1.at = o.at + 1 LEFT JOIN loose h2 ON h2.pair = o.pair AND h2.i = o.i AND h2.at = o.at + 2""",
+    "json_flatten": """WITH leaf AS (SELECT doc_id AS ord, 'd.source' AS key, source AS v FROM documents UNION ALL SELECT doc_id, 'd.meta.lang', lang FROM documents UNION ALL SELECT doc_id, 'd.meta.deep.body', text FROM documents),
+        other AS (SELECT doc_id AS ord, 'd.meta.size' AS key, CASE WHEN n_chars IS NULL THEN 'null' ELSE 'number' END AS v FROM documents UNION ALL SELECT doc_id, 'd.meta.tags', 'array' FROM documents
+            UNION ALL SELECT doc_id, 'd.long', CASE WHEN n_chars IS NULL THEN 'null' ELSE 'boolean' END FROM documents UNION ALL SELECT doc_id, 'd.none', 'null' FROM documents)
+        SELECT ord, CASE WHEN v IS NULL THEN 'skipped' ELSE 'string' END AS kind, key, md5(coalesce(v, 'null')) AS value_md5 FROM leaf
+        UNION ALL SELECT ord, 'skipped', key, md5(v) FROM other UNION ALL SELECT doc_id, 'file', NULL, NULL FROM documents""",
 }
-
-ORACLE_SQL |= {
-    "text_words": f"WITH {_TEXT_WORDS} SELECT word, count(*) AS n FROM t GROUP BY word",
-    "text_lemmas": f"WITH {_TEXT_WORDS}, u AS (SELECT DISTINCT word, {_ALL_LOWER.format('word')} AS w FROM t) SELECT word, {_LEMMA} AS lemma FROM u",
-    "full_scan_summary": f"""WITH RECURSIVE {_STAGED}, {_EDGES.replace('FROM z)', 'FROM d)')}, ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
-        r AS (SELECT DISTINCT a, a AS b FROM ways UNION SELECT r.a, ways.b FROM r JOIN ways ON r.b = ways.a), m AS (SELECT a AS node, min(b) AS root FROM r GROUP BY a),
-        fuzzy AS (SELECT nodes.norm, root FROM m JOIN nodes USING (node)), x AS (SELECT key, norm, value, count(*) OVER (PARTITION BY value) > 1 AS d FROM s),
-        v AS (SELECT norm FROM s GROUP BY norm HAVING count(DISTINCT value) > 1),
-        y AS (SELECT *, norm IN (SELECT norm FROM v) AS v, norm IN (SELECT norm FROM fuzzy) AS f FROM x)
-        SELECT count(*) FILTER (d) AS duplicate_keys, count(*) FILTER (v) AS variant_keys, count(*) FILTER (f) AS fuzzy_keys, count(*) FILTER (d OR v) AS duplicate_or_variant_keys,
-        count(*) FILTER (d OR v OR f) AS redundant_keys, count(DISTINCT CASE WHEN d THEN value END) AS duplicate_groups, (SELECT count(*) FROM v) AS variant_groups,
-        (SELECT count(DISTINCT root) FROM fuzzy) AS fuzzy_groups, count(*) AS source_keys, count(*) - count(DISTINCT norm) AS collapsible_keys,
-        floor(CAST(count(*) FILTER (d OR v) AS DOUBLE) / count(*) * 100 * 10 + 0.5) / 10.0::DOUBLE AS duplicate_or_variant_percent,
-        floor(CAST(count(*) FILTER (d OR v OR f) AS DOUBLE) / count(*) * 100 * 10 + 0.5) / 10.0::DOUBLE AS redundant_percent FROM y""",
-    # the statements of the narrower queries, over all rows
-    "text_terms": ORACLE_SQL["term_list"].replace(_SENTENCES, _ALL_SENTENCES).replace(_WORDS, _ALL_WORDS).replace("lower(x)", _ALL_LOWER.format("x")),
-    "all_key_usage": ORACLE_SQL["unused_keys"].replace(" WHERE p_partkey % 2 = 0", ""),
-}
-ORACLE_SQL["text_subsumed"] = ORACLE_SQL["text_terms"].partition("SELECT id, df, false")[0].replace("df >= 3", "df >= 2") + "SELECT id FROM x"

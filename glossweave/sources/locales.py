@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tables import written
+from ..functions.tables import numbered, written
 from ..runtime import ship
 
 _LOCALE = re.compile(T.LOCALE.replace("(?i:", "(?:"), re.IGNORECASE | re.ASCII)
@@ -138,8 +138,7 @@ def merge(parsed: DataFrame) -> LocaleSet:
     """Locale files as one set: the last value of a key wins, its first place stays, and a key of several files is a warning."""
     strings = parsed.where("kind = 'string'").withColumn("at", F.struct("file_ord", "place"))
     merged = strings.groupBy("locale", "key").agg(F.max_by("value", "at").alias("value"), F.min("at").alias("first"))
-    # places inside a locale are dense; locales are few, keys of one are sorted by one task
-    ordered = merged.withColumn("ord", (F.row_number().over(Window.partitionBy("locale").orderBy("first")) - 1).cast("long")).drop("first")
+    ordered = numbered(merged, ["locale"], ["first"], "ord")
     files = parsed.where("kind = 'file'").select("locale", "file", F.col("file_ord").alias("ord"))
     locales = files.groupBy("locale").agg(F.min("ord").alias("ord"))
     again = strings.withColumn("n", F.row_number().over(Window.partitionBy("locale", "key").orderBy("at"))).where("n > 1")
@@ -168,8 +167,8 @@ def load_locale_dir(spark: SparkSession, folder: str, separator: str = ".") -> L
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value of every non-empty line, untrimmed: allow-lists and seed lists."""
-    return spark.read.text(path).where("value <> ''")
+    """value of every line that isn't blank, untrimmed: allow-lists and seed lists."""
+    return spark.read.text(path).where(~T.is_blank(F.col("value")))
 
 
 def read_zipf(spark: SparkSession, path: str) -> DataFrame:

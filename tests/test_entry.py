@@ -5,7 +5,6 @@ import __spark_entry__ as entry
 from glossweave.plans import queries
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"fuzzy_components", "term_list", "align_results", "term_locale_stats", "term_tiers", "glossary_estimate", "glossary_rank"}
 
 
 def test_entry(spark):
@@ -13,7 +12,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("part", "documents", "pages", "embeddings", "nation"):
