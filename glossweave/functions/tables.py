@@ -14,10 +14,12 @@ _own: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which executors share; a temporary one of this process where it is unset."""
+    """The folder of spark.checkpoint.dir, which executors share; a temporary one of this process where it is unset, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="glossweave-work-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)

@@ -36,6 +36,9 @@ SCHEMA = {
     "required": ["ambiguous", "senses", "translatorNote", "confidence"],
 }
 
+#: The same as a type of Spark.
+RECORD = "struct<ambiguous:boolean,senses:array<struct<label:string,definition:string,exampleKeys:array<string>>>,translatorNote:string,confidence:string>"
+
 
 class Provider(Protocol):
     name: str
@@ -47,7 +50,10 @@ class Provider(Protocol):
 class StubProvider:
     """Answers without a model: one sense that repeats the term."""
 
-    name, model = "stub", "none"
+    name = "stub"
+
+    def __init__(self, model: str = "none"):
+        self.model = model
 
     def define(self, system: str, prompt: str) -> dict:
         term = prompt.split('Term: "', 1)[-1].split('"', 1)[0]

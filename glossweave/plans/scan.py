@@ -1,4 +1,4 @@
-"""The scan of a locale set: all analyses over one written `strings`, gathered for a report of bounded size."""
+"""The scan of a locale set: all analyses over one written `strings`."""
 
 from __future__ import annotations
 
@@ -12,17 +12,17 @@ from ..sources.locales import LocaleSet
 FAIL_ON = ("missing", "untranslated", "duplicates", "variants", "fuzzy", "unused")
 
 
-def scan(found: LocaleSet, source: str = "en", threshold: float | None = 0.85, most_length: int = 200, allowed: DataFrame | None = None, code: DataFrame | None = None, prefixes: list[str] = (), most_groups: int = 10_000) -> dict:
-    """The result of a scan; threshold None: no fuzzy search. Lists of groups hold `most_groups` rows at most; counts are whole."""
+def scan(found: LocaleSet, source: str = "en", threshold: float | None = 0.85, most_length: int = 200, allowed: DataFrame | None = None, code: DataFrame | None = None, prefixes: list[str] = ()) -> dict:
+    """The result of a scan; threshold None: no fuzzy search. Lists are whole DataFrames in the order of the report, counts are numbers."""
     own = written(found.source(source), "source")
     strings = written(found.strings, "strings")
-    duplicates, variants = redundancy.find_duplicates(own), redundancy.find_variants(own)
+    duplicates, variants = written(redundancy.find_duplicates(own), "duplicates"), written(redundancy.find_variants(own), "variants")
     fuzzy = None
     if threshold is not None:
-        fuzzy = written(redundancy.find_fuzzy(own, threshold, most_length), "fuzzy").orderBy(F.desc("min_similarity"), "n")
+        fuzzy = written(redundancy.find_fuzzy(own, threshold, most_length), "fuzzy")
     summary = redundancy.summary(own, duplicates, variants, fuzzy).first().asDict()
     missing = written(completeness.find_missing(strings, found.locales, source, allowed), "missing")
-    rows = lambda df: [r.asDict(True) for r in df.limit(most_groups).collect()]
+    warnings = written(found.warnings, "warnings")
     counts = {r["locale"]: r.asDict() for r in completeness.missing_counts(missing, found.locales, source).collect()}
     order = [r["locale"] for r in found.locales.orderBy("ord").select("locale").collect()]
     out = {
@@ -31,17 +31,19 @@ def scan(found: LocaleSet, source: str = "en", threshold: float | None = 0.85, m
         "locales": order,
         "summary": summary,
         "kinds": {r["kind"]: r["n"] for r in redundancy.kind_counts(variants).collect()},
-        "duplicates": rows(duplicates),
-        "variants": rows(variants),
-        "fuzzy": rows(fuzzy) if fuzzy is not None else [],
+        "duplicates": duplicates.orderBy(F.desc("n"), F.expr("value collate UNICODE")),
+        "variants": variants.orderBy(F.desc("n"), F.expr("normalised collate UNICODE")),
+        "fuzzy": fuzzy.orderBy(F.desc("min_similarity"), "n") if fuzzy is not None else [],
         "missing": [counts[x] for x in order if x in counts],
-        "missing_keys": rows(missing.orderBy("locale", "category", "ord")),
-        "warnings": rows(found.warnings.orderBy("ord").drop("ord")),
+        "missing_keys": missing.orderBy("locale", "category", "ord"),
+        "warning_count": warnings.count(),
+        "warnings": warnings.orderBy("ord").drop("ord"),
     }
     if code is not None:
         usage = written(completeness.key_usage(own.select("key", "ord"), code, list(prefixes)), "usage")
         n = {r["status"]: r["count"] for r in usage.groupBy("status").count().collect()}
-        out["unused"] = {"files": code.count(), "count": n.get("unused", 0), "dynamic": n.get("dynamic", 0), "keys": [r["key"] for r in usage.where("status = 'unused'").orderBy("ord").limit(most_groups).collect()]}
+        out["unused"] = {"files": code.count(), "count": n.get("unused", 0), "dynamic": n.get("dynamic", 0)}
+        out["unused_keys"] = usage.where("status = 'unused'").orderBy("ord").select("key")
     return out
 
 

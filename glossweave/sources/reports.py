@@ -1,10 +1,13 @@
-"""Reports of a scan and of a vocabulary run: JSON and text from bounded rows, written to a file or returned."""
+"""Reports of a scan and of a vocabulary run: whole JSON, a piece at a time, and text that shows the first rows of each list."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from datetime import datetime, timezone
-from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPORT_VERSION = 1
 
@@ -26,9 +29,39 @@ def key_list(keys: list[str], most: int = 4) -> str:
     return ", ".join([*keys[:most], *([f"... +{len(keys) - most}"] if len(keys) > most else [])])
 
 
-def render_json(result: dict) -> str:
+def json_parts(result: dict) -> Iterator[str]:
+    """A report as JSON text, a piece at a time. Values that are DataFrames are lists of all their rows: partitions come to the driver one
+    after the other, each row as the text that Spark makes of it."""
     head = {"reportVersion": REPORT_VERSION, "generatedAt": datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")}
-    return json.dumps(head | result, indent=2, ensure_ascii=False, default=str) + "\n"
+    yield "{"
+    for n, (name, value) in enumerate((head | result).items()):
+        yield f"{',' if n else ''}\n  {json.dumps(name)}: "
+        if isinstance(value, DataFrame):
+            yield "["
+            for k, row in enumerate(value.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).toLocalIterator()):
+                yield f"{',' if k else ''}\n    {row['row']}"
+            yield "\n  ]"
+        else:
+            yield json.dumps(value, indent=2, ensure_ascii=False, default=str).replace("\n", "\n  ")
+    yield "\n}\n"
+
+
+def write_report(spark: SparkSession, result: dict, path: str) -> None:
+    """The JSON report as one file, by Hadoop's file system, so that any of Spark's stores will do."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out = jvm.java.io.OutputStreamWriter(stream, "UTF-8")
+    try:
+        held: list[str] = []
+        for part in json_parts(result):
+            held.append(part)
+            if len(held) >= 1000:
+                out.write("".join(held))
+                held.clear()
+        out.write("".join(held))
+    finally:
+        out.close()
 
 
 def _section(title: str, rows: list[str], total: int | None = None) -> list[str]:
@@ -41,6 +74,11 @@ def _members(group: dict) -> list[str]:
     return [f"  {quote(m['value'])}  <- {key_list(m['keys'], 3)}" for m in group["members"]]
 
 
+def first(rows: DataFrame | list, top: int) -> list[dict]:
+    """The first rows of a report's list."""
+    return [x.asDict(True) for x in rows.limit(top).collect()] if isinstance(rows, DataFrame) and top else list(rows[:top]) if isinstance(rows, list) else []
+
+
 def render_text(r: dict, top: int = 10, threshold: float | None = None, fuzzy: bool = True) -> str:
     """A scan's report. r: what plans.scan.scan() gives; empty sections are left out."""
     s = r["summary"]
@@ -57,10 +95,10 @@ def render_text(r: dict, top: int = 10, threshold: float | None = None, fuzzy: b
         f"  fuzzy near-duplicates    {near if fuzzy else '(disabled)'}",
         f"  keys that merging duplicates and variants removes: {number(s['collapsible_keys'])}",
     ]
-    lines += _section("EXACT DUPLICATES", [x for g in r["duplicates"][:top] for x in (f"x{len(g['keys'])}  {quote(g['value'])}", f"     {key_list(g['keys'])}")], s["duplicate_groups"])
-    lines += _section("VARIANTS", [x for g in r["variants"][:top] for x in (f"[{', '.join(g['kinds'])}]", *_members(g))], s["variant_groups"])
+    lines += _section("EXACT DUPLICATES", [x for g in first(r["duplicates"], top) for x in (f"x{len(g['keys'])}  {quote(g['value'])}", f"     {key_list(g['keys'])}")], s["duplicate_groups"])
+    lines += _section("VARIANTS", [x for g in first(r["variants"], top) for x in (f"[{', '.join(g['kinds'])}]", *_members(g))], s["variant_groups"])
     tag = lambda g: "[same words, different order]" if g["min_similarity"] == 1 else f"[similarity >= {g['min_similarity']}]"
-    lines += _section("NEAR-DUPLICATES", [x for g in r["fuzzy"][:top] for x in (tag(g), *_members(g))], s["fuzzy_groups"])
+    lines += _section("NEAR-DUPLICATES", [x for g in first(r["fuzzy"], top) for x in (tag(g), *_members(g))], s["fuzzy_groups"])
     table = [f"{'locale':<8} {'absent':>8} {'empty':>8} {'untranslated':>18} {'extra':>8}"]
     for m in r["missing"]:
         same = "n/a (same language)" if m["same_language"] else f"{number(m['untranslated'])} ({percent(m['untranslated'], r['source_keys'])})"
@@ -69,9 +107,9 @@ def render_text(r: dict, top: int = 10, threshold: float | None = None, fuzzy: b
     if u := r.get("unused"):
         head = f"{number(u['count'])} of {number(r['source_keys'])} keys in none of {number(u['files'])} files ({number(u['dynamic'])} more may be built at run time)"
         more = [f"... +{number(u['count'] - top)} more"] if u["count"] > top else []
-        lines += _section("UNUSED KEYS", [head, *u["keys"][:top], *more])
-    warn = [f"{w['locale']}{' ' + w['key'] if w['key'] else ''}: {w['message']}" for w in r["warnings"][:top]]
-    lines += _section("WARNINGS", warn + ([f"... +{number(len(r['warnings']) - top)} more"] if len(r["warnings"]) > top else []))
+        lines += _section("UNUSED KEYS", [head, *(k["key"] for k in first(r["unused_keys"], top)), *more])
+    warn = [f"{w['locale']}{' ' + w['key'] if w['key'] else ''}: {w['message']}" for w in first(r["warnings"], top)]
+    lines += _section("WARNINGS", warn + ([f"... +{number(r['warning_count'] - top)} more"] if r["warning_count"] > top else []), None)
     return "\n".join(lines) + "\n"
 
 
@@ -111,15 +149,9 @@ def render_vocab_text(r: dict, top: int = 20, locales_per_term: int = 5) -> str:
         "  for a glossary: " + ", ".join(f"{number(n)} at >={k.split(':')[1]} strings" for k, n in e.items() if k.startswith("glossary:")),
         f"  so the vocabulary is {scale} concepts, and {number(e['tier:keep-english'])} words are not to be translated",
     ]
-    by_tier = lambda tier: [t for t in r["ranked"] if t["tier"] == tier]
-    ambiguous, jargon = by_tier("ambiguous"), by_tier("jargon")
-    lines += _section("MOST INCONSISTENT TERMS", [x for t in ambiguous[:top] for x in _term(t, locales_per_term)], len(ambiguous))
-    keep = sorted((t for t in r["terms"] if t["tier"] == "keep-english"), key=lambda t: -t["df"])
-    lines += _section("KEEP IN ENGLISH", [", ".join(t["term"] for t in keep[: 2 * top])] if keep else [], len(keep) or None)
-    lines += _section("JARGON", [x for t in jargon[:top] for x in _term(t, min(3, locales_per_term))], len(jargon))
+    of = lambda tier: [t for t in r["shown"] if t["tier"] == tier]
+    lines += _section("MOST INCONSISTENT TERMS", [x for t in of("ambiguous")[:top] for x in _term(t, locales_per_term)], e["tier:ambiguous"])
+    keep = of("keep-english")
+    lines += _section("KEEP IN ENGLISH", [", ".join(t["term"] for t in keep[: 2 * top])] if keep else [], e["tier:keep-english"] or None)
+    lines += _section("JARGON", [x for t in of("jargon")[:top] for x in _term(t, min(3, locales_per_term))], e["tier:jargon"])
     return "\n".join(lines) + "\n"
-
-
-def write_report(text: str, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")

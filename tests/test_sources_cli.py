@@ -5,7 +5,7 @@ import pytest
 from glossweave.cli import main
 from glossweave.operators.alignment import align, request_keys
 from glossweave.sources.caches import through_cache
-from glossweave.sources.locales import flatten_json, load_locale_dir, locale_code, parse_file
+from glossweave.sources.locales import flatten_json, load_locale_dir, locale_code, parse_file, read_lines
 from glossweave.streaming.incremental import align_stream
 
 EN = {
@@ -77,17 +77,52 @@ def test_scan_command(spark, flat, capsys, tmp_path):
     assert report["fuzzy"][0]["min_similarity"] == 0.95 and report["summary"]["collapsible_keys"] == 2
 
 
-@pytest.mark.parametrize("wrong", [["--top", "0"], ["--format", "both"], ["--fuzzy-threshold", "2"], ["--fail-on", "x"], ["--source", "xx"], ["--nope"]])
+@pytest.mark.parametrize("wrong", [["--top", "-1"], ["--top", "x"], ["--format", "both"], ["--format", "xml"], ["--fuzzy-threshold", "2"], ["--fuzzy-max-len", "0"], ["--fail-on", "x"], ["--source", "xx"], ["--nope"], ["twice"]])
 def test_wrong_options(spark, flat, wrong):
     assert main(["scan", flat, *wrong], spark) == 2
 
 
+@pytest.mark.parametrize(
+    ("wrong", "says"),
+    [([], "one folder"), (["f", "--min-df", "0"], "--min-df"), (["f", "--top", "0"], "--top"), (["f", "--model-for", "th"], "lang=model"), (["f", "--format", "both"], "requires --out"), (["f", "--provider", "foo"], "--provider must be one of stub"), (["f", "--define"], "--domain")],
+)
+def test_wrong_vocab_options(spark, wrong, says, capsys):
+    assert main(["vocab", *wrong], spark) == 2
+    assert says in capsys.readouterr().err
+
+
+def test_help(spark, capsys):
+    for argv, says in ((["help"], "--fail-on"), (["help", "vocab"], "--define-model"), (["--help"], "scan <folder>"), (["vocab", "--help"], "--model-for"), (["scan", "-h"], "--separator")):
+        assert main(argv, spark) == 0
+        assert says in capsys.readouterr().out
+
+
+def test_lists_are_whole(spark, tmp_path, capsys):
+    (tmp_path / "en.json").write_text(json.dumps({f"k{i}": f"value {'ab'[i % 2]} {i // 2}" for i in range(3000)} | {f"m{i}": f"value a {i}" for i in range(1500)}))
+    (tmp_path / "de.json").write_text("{}")
+    assert main([str(tmp_path), "--no-fuzzy", "--format", "json", "--top", "0", "--fail-on", " missing , unused"], spark) == 1
+    report = json.loads(capsys.readouterr().out)
+    assert len(report["duplicates"]) == 1500 and len(report["missing_keys"]) == 4500 and report["reportVersion"] == 1
+    assert main([str(tmp_path), "--no-fuzzy", "--format", "text", "--top", "0"], spark) == 0
+    assert "1,500 groups" in capsys.readouterr().out
+
+
+def test_allow_list_skips_blank_lines(spark, tmp_path):
+    (tmp_path / "allow.txt").write_text("one\n\n  \n two \n")
+    assert [r["value"] for r in read_lines(spark, str(tmp_path / "allow.txt")).collect()] == ["one", " two "]
+
+
 def test_vocab_command(spark, flat, capsys, tmp_path):
     args = ["vocab", flat, "--min-df", "2", "--cache", str(tmp_path / "c"), "--define", "--domain", "allotments"]
     assert main(args, spark) == 0
     assert "VOCABULARY ESTIMATE" in capsys.readouterr().out
     assert main(args, spark) == 0
-    assert main(["vocab", flat, "--define"], spark) == 2
+    out = str(tmp_path / "vocab.json")
+    assert main([*args, "--format", "json", "--out", out, "--model-for", "de=xlm-roberta-base", "--define-model", "none"], spark) == 0
+    report = json.load(open(out))
+    assert report["models"] == ["de: xlm-roberta-base"] and all(t["definition"]["senses"] for t in report["terms"] if t["tier"] == "jargon")
+    capsys.readouterr()
+    assert main(["vocab", flat, "--locales", "en-gb"], spark) == 2 and "No target locales left" in capsys.readouterr().err
 
 
 def test_cache_and_stream(spark, tmp_path):
