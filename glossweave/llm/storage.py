@@ -14,10 +14,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), one temporary folder of this process."""
+    """The folder named in spark.checkpoint.dir; where that is unset, in local mode only (tests), one temporary folder of this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="glossweave-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
