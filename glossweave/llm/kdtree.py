@@ -9,8 +9,9 @@ score. Each shard's best k of a query are merged at the end.
 Queries are a stated set. They are written in blocks to the shared folder, and a shard's task takes one block after the other, so that
 it holds one tree and one block.
 
-Cases: null vectors and ones with null or non-finite components take no part, nor do ones of another length than most (of the least of
-such lengths), nor null ids; a query meets every candidate but the row with its own id; ties go to the smaller id; repeated rows are candidates each (an id with several vectors gets one list over all of them);
+Cases: null vectors and ones with null or non-finite components take no part, nor do null ids; components that a shorter vector lacks
+count as 0, so an empty one has score 0; components and scores that 64-bit integers can't hold raise; a query meets every candidate but the
+row with its own id; ties go to the smaller id; repeated rows are candidates each (an id with several vectors gets one list over all of them);
 with fewer than k candidates all are returned; an empty table or query set gives no rows; other columns play no part.
 """
 
@@ -34,12 +35,24 @@ FOUND = "query_id long, vec_id long, score long"
 
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id, v (array of long: floor(scale * x)) of the rows that take part."""
-    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where("vec_id is not null and x is not null and size(x) > 0")
+    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where("vec_id is not null and x is not null")
     fine = given.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    lengths = fine.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    if lengths is not None:
-        fine = fine.where(F.size("x") == lengths["n"])
-    return fine.select("vec_id", F.transform("x", lambda v: F.floor(v * F.lit(float(scale)))).alias("v"))
+    most = fine.agg(F.max(F.size("x"))).first()[0] or 1
+    whole = F.transform("x", lambda v: F.floor(v * F.lit(float(scale))).cast("long"))
+    # a double of 2^63 or more would be cut to the largest integer without a word
+    checked = F.when(F.forall("x", lambda v: F.abs(v * F.lit(float(scale))) < 2.0**63), whole).otherwise(F.raise_error(F.lit("a component is too large")))
+    return fine.select("vec_id", F.concat(checked, F.array_repeat(F.lit(0).cast("long"), F.lit(most) - F.size("x"))).alias("v"))
+
+
+def _numbers(values: np.ndarray) -> np.ndarray:
+    """Integers as doubles where these are exact."""
+    return values if np.abs(values).max(initial=0) >= 2**53 or (values == np.iinfo(np.int64).min).any() else values.astype(np.float64)
+
+
+def _below(score: int) -> float:
+    """The largest double that isn't over a score."""
+    out = float(score)
+    return out if int(out) <= score else float(np.nextafter(out, -np.inf))
 
 
 class Tree:
@@ -69,11 +82,12 @@ class Tree:
         self.first_leaf = 2**self.depth - 1
         self.full = self.span[:, 1] > self.span[:, 0]
         # inner products in floating point are exact below 2^53; larger ones are taken in Python integers
-        self.peak = float(np.abs(vectors).max(initial=0))
+        self.peak = float(np.abs(vectors.astype(float)).max(initial=0))
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest inner product that each query can have in each node's box."""
         lo, hi = np.where(self.full[:, None], self.lo, 0), np.where(self.full[:, None], self.hi, 0)
+        queries = queries.astype(float)
         out = np.maximum(queries, 0) @ hi.T + np.minimum(queries, 0) @ lo.T
         out += np.abs(out) * 1e-9  # rounding never hides a node
         out[:, ~self.full] = -np.inf
@@ -81,7 +95,7 @@ class Tree:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """(query, vec_id, score) of each query's best k here that reach its kth score so far (-inf: none)."""
-        exact = self.peak * float(np.abs(queries).max(initial=0)) * queries.shape[1] < 2**53
+        exact = self.peak * float(np.abs(queries.astype(float)).max(initial=0)) * queries.shape[1] < 2**53
         vectors = self.vectors if exact else self.vectors.astype(np.int64).astype(object)
         bounds, out = self.bounds(queries), []
         for n in range(len(queries)):
@@ -119,8 +133,8 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]
         if batch.num_rows:
             column = batch.column(1)
             ids.append(batch.column(0).to_numpy())
-            vectors.append(column.flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64))
-    return (np.concatenate(ids), np.concatenate(vectors)) if ids else None
+            vectors.append(column.flatten().to_numpy().reshape(batch.num_rows, -1))
+    return (np.concatenate(ids), _numbers(np.concatenate(vectors))) if ids else None
 
 
 def _packed(ids: np.ndarray, vectors: np.ndarray, kth: np.ndarray) -> bytes:
@@ -136,7 +150,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 512,
     spark = vectors.sparkSession
     folder = new_path(spark, "queries")
     first = vectors.limit(sample).collect()
-    seed = (np.array([r["vec_id"] for r in first], np.int64), np.array([r["v"] for r in first], np.float64)) if first else None
+    seed = (np.array([r["vec_id"] for r in first], np.int64), _numbers(np.array([r["v"] for r in first], np.int64))) if first else None
     shared = spark.sparkContext.broadcast(seed)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +164,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 512,
                 scores: dict[int, list[int]] = {}
                 for q, _, score in tree.search(ids, vecs, np.full(len(ids), -np.inf), k):
                     scores.setdefault(q, []).append(score)
-                kth = np.array([min(s) if len(s := scores.get(int(q), [])) >= k else -np.inf for q in ids], float)
+                kth = np.array([_below(min(s)) if len(s := scores.get(int(q), [])) >= k else -np.inf for q in ids], float)
                 name = f"block-{part}-{n}.npz"
                 write_file(f"{folder}/{name}", [_packed(ids, vecs, kth)])
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)])], ["name", "queries"])

@@ -64,7 +64,7 @@ def brute(ids, vectors, queries_, k):
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(500, 8)), np.repeat(rng.normal(size=(1, 8)), 40, axis=0)])
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [float("nan")] * 8), (1002, [1.0, None] * 4), (1003, [float("inf")] * 8), (1004, [1.0]), (None, [1.0] * 8)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [float("nan")] * 8), (1002, [1.0, None] * 4), (1003, [float("inf")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     own = kdtree.quantised(df)
     ids = np.arange(len(x))
@@ -86,6 +86,20 @@ def test_large_components_are_exact():
     assert {(i, s) for _, i, s in got} == {(i, sum(int(a) * int(b) for a, b in zip(v[i], v[0], strict=True))) for i in range(3)}
 
 
+def test_lengths_and_large_numbers(spark):
+    rows = [(1, [1.0, 2.0]), (2, [3.0]), (3, []), (4, [-1.0, 0.5, 9.0]), (100, [2.0, 1.0, 1.0])]
+    schema = "vec_id long, embedding array<double>"
+    own = kdtree.quantised(spark.createDataFrame(rows, schema))
+    whole = {i: [int(1024 * x) for x in [*v, 0, 0, 0][:3]] for i, v in rows}
+    want = brute([i for i in whole if i != 100], [whole[i] for i in whole if i != 100], [(100, whole[100])], 10)
+    assert {100: sorted((r["rank"], r["vec_id"], r["score"]) for r in kdtree.top_k(own, own.where("vec_id = 100")).collect())} == want
+    big = spark.createDataFrame([(i, [2**61 - i, 1]) for i in range(30)] + [(99, [1, 1])], "vec_id long, v array<long>")
+    got = [(r["vec_id"], r["score"]) for r in kdtree.top_k(big, big.where("vec_id = 99"), 5, sample=8, leaf=2).orderBy("rank").collect()]
+    assert got == [(i, 2**61 - i + 1) for i in range(5)]
+    with pytest.raises(Exception, match="too large"):
+        kdtree.quantised(spark.createDataFrame([(1, [1e300])], schema)).collect()
+
+
 def brute_rule(url):
     _, sep, rest = (url or "").partition("://")
     host = path = ""
@@ -252,3 +266,24 @@ def test_pipeline(spark):
     want = {i for i, t in rows if i in kept and not any(b in " ".join(t.lower().split()) for b in bench)}
     pieces = corpus_pipeline.run(spark, sf).select("doc_id", "length", "doc_tokens").collect()
     assert {r["doc_id"] for r in pieces} == want
+
+
+def test_pipeline_cases(spark, tmp_path):
+    r = random.Random(4)
+    lists = {"en": "the and with house water people under going".split(), "fr": "le et avec maison eau gens très vers".split()}
+    body = lambda k, n=40: " ".join(r.choices(lists[k], k=n))
+    rows = [(i, body(k), k) for i in range(60) for k in [("en", "fr")[i % 2]]]
+    same, leak = body("en"), body("fr", 30)
+    rows += [(100, same, "en"), (100, same, "en"), (101, same, None), (None, same, "en"), (102, None, "en"), (103, "", None), (104, "12 34", "fr"), (105, f"{body('fr', 9)} {leak} {body('fr', 9)}", "fr"), (None, leak, None), (106, body("en", 12_000), "en")]
+    docs = spark.createDataFrame([(i, t, k, -1.0, "own", n, 7) for n, (i, t, k) in enumerate(rows)], "doc_id long, text string, lang string, score double, Lang_Pred string, rid long, __maybe int").repartition(3)
+    spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns and now.select("score", "Lang_Pred", "__maybe").distinct().collect() == [(-1.0, "own", 7)]
+    got = sorted(((x["doc_id"], x["rid"]) for x in now.collect()), key=repr)
+    assert [i for i, _ in got if i is not None] == sorted([*range(60), 100, 106], key=repr) and [n for i, n in got if i is None] == [63]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert {x["doc_id"] for x in pieces} == {i for i, _ in got} and all(x["length"] <= 4096 for x in pieces)
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
