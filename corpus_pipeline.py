@@ -1,4 +1,10 @@
-"""The training-corpus pipeline: language ID, near-duplicate removal, benchmark decontamination, packing."""
+"""The training-corpus pipeline: language ID, near-duplicate removal, benchmark decontamination, packing.
+
+Every stage but the last returns rows as they came, with all their columns, whatever these are called. Cases: rows with a null or blank
+text, or one without letters, have no language and go in the first stage; if nothing can be learned, no language can be told and all go. Rows
+that repeat a doc_id and its words are copies of one another: one stays. Rows without doc_id are judged for language and leaks only. An empty
+table, or an empty benchmark, is no error. Of equal texts the one of the least doc_id stays.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm import decontaminate, language_id, near_dedup, packing
+from glossweave.llm.queries import CONTEXT, LIMITS
 from glossweave.llm.storage import materialise
 
 #: The least posterior of a document's language with which it stays.
@@ -14,8 +21,10 @@ LEAST_SCORE = 0.5
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: not `und`, and sure enough."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    # columns of docs that are called like the verdicts step aside
+    aside = [f"__{c}" if c.lower() in ("lang_pred", "score") else c for c in docs.columns]
+    found = language_id.identify(docs.toDF(*aside), language_id.fit(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*[F.col(a).alias(c) for a, c in zip(aside, docs.columns, strict=True)])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, with their ids, in sequences of at most 4096 ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, limits=LIMITS, prompt_tokens=CONTEXT)
 
 
 STAGES = [("language_id", keep_languages), ("near_dedup", drop_copies), ("decontamination", drop_leaks), ("packing", pack)]
