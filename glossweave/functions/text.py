@@ -64,6 +64,26 @@ def nfkd(x: Column) -> Column:
     return F.coalesce(F.when(plain, x), _unicode_form("NFKD")(F.when(~plain, x)))
 
 
+@cache
+def _halves():
+    """An Arrow UDF: characters outside the basic plane as two of its private ones, one for each UTF-16 unit."""
+
+    def split(c: str) -> str:
+        n = ord(c) - 0x10000
+        return c if n < 0 else chr(0xE100 + (n >> 10)) + chr(0xE500 + (n & 0x3FF))
+
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else "".join(map(split, v)))
+
+    return pandas_udf(run, "string")
+
+
+def by_units(x: Column) -> Column:
+    """A text with one character for each UTF-16 unit, for distances; only texts with characters of two units go through Python."""
+    wide = x.rlike(r"[\x{10000}-\x{10FFFF}]")
+    return F.coalesce(F.when(~wide, x), _halves()(F.when(wide, x)))
+
+
 def trim(x: Column) -> Column:
     return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
 

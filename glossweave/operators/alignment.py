@@ -158,15 +158,20 @@ RESULT = (
 )
 
 
-def align_pair(src: str, tgt: str, lang: str, encoder: Encoder, method: str = "itermax") -> dict:
+def align_pair(src: str, tgt: str, lang: str, encoder: Encoder, method: str = "itermax", known: dict | None = None) -> dict:
+    """One row of RESULT without its id. known: spans and vectors of sources that were encoded before, kept for the next pairs."""
     unspaced = lang in UNSPACED
-    spans = [encoder.units(src, False), encoder.units(tgt, unspaced)]
-    source, target = ([t[a:b] for a, b in own] for t, own in zip((src, tgt), spans, strict=True))
+    known = {} if known is None else known
+    if src not in known:
+        known.clear()
+        own = encoder.units(src, False)
+        known[src] = own, encoder.encode([src], [own])[0] if own else None
+    (own, x), theirs = known[src], encoder.units(tgt, unspaced)
+    source, target = [src[a:b] for a, b in own], [tgt[a:b] for a, b in theirs]
     out = {"src_words": source, "tgt_units": target, "tgt_stems": [stem(w, lang) for w in target], "joiner": "" if unspaced else " "}
     if not source or not target:
         return out | {"links": [], "spans": [None] * len(source), "scores": [None] * len(source)}
-    x, y = encoder.encode([src, tgt], spans)
-    sim = x @ y.T
+    sim = x @ encoder.encode([tgt], [theirs])[0].T
     links = itermax(sim) if method == "itermax" else mutual_argmax(sim)
     grown = grow_spans(sim, links, 8 if unspaced else 2)
     return out | {
@@ -177,22 +182,25 @@ def align_pair(src: str, tgt: str, lang: str, encoder: Encoder, method: str = "i
 
 
 def align(requests: DataFrame, encoder: Callable[[str], Encoder] | None = None, routing: Routing = Routing(), method: str = "itermax") -> DataFrame:
-    """RESULT for requests (id, lang, src, tgt). encoder(model) is made once a task and model; rows aren't moved."""
+    """RESULT for requests (id, lang, src, tgt). encoder(model) is made once a task and model.
+
+    Pairs are dealt by source, so that a source is encoded once a model, however many languages it has."""
     make = encoder or (lambda _: HashEncoder())
     ship(requests.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[str, Encoder] = {}
+        known: dict[str, dict] = {}
         for batch in batches:
             rows = []
             for r in batch.itertuples():
                 model = routing.of(r.lang)
                 if model not in made:
                     made[model] = make(model)
-                rows.append({"id": r.id} | align_pair(r.src, r.tgt, r.lang, made[model], method))
+                rows.append({"id": r.id} | align_pair(r.src, r.tgt, r.lang, made[model], method, known.setdefault(model, {})))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.replace("struct<i:int,j:int>", "s").replace("struct<lo:int,hi:int>", "s").split(", ")])
 
-    return requests.select("id", "lang", "src", "tgt").mapInPandas(run, RESULT)
+    return requests.select("id", "lang", "src", "tgt").repartition("src").sortWithinPartitions("src").mapInPandas(run, RESULT)
 
 
 def request_keys(requests: DataFrame, routing: Routing = Routing(), layer: int = 8, method: str = "itermax") -> DataFrame:

@@ -36,6 +36,30 @@ def test_fuzzy_options_and_empty(spark):
     assert redundancy.find_fuzzy(s.limit(0)).count() == 0
 
 
+def test_distance_counts_utf16_units(spark):
+    s = strings(spark, [("a", "garden \U0001d538\U0001d539"), ("b", "garden \U0001d538\U0001d538")])
+    two = strings(spark, [("a", "plot \U00020000\U00020001 north"), ("b", "plot \U00020000\U00020402 north")])
+    # the first pair is letters that NFKC turns into plain ones; of the second both units of one character differ, of 15
+    assert redundancy.find_fuzzy(s, 0.8).count() == 1
+    assert [r["min_similarity"] for r in redundancy.find_fuzzy(two, 0.5).collect()] == [0.867]
+
+
+def test_sources_are_encoded_once(spark):
+    class Counting(A.HashEncoder):
+        def encode(self, texts, spans):
+            if "Weed the bed" in texts:
+                Counting.calls += 1
+            return super().encode(texts, spans)
+
+    Counting.calls, known = 0, {}
+    encoder = Counting()
+    rows = [A.align_pair("Weed the bed", t, "de", encoder, known=known) for t in ("Beet jäten", "Das Beet", "")]
+    assert Counting.calls == 1 and rows[0] == A.align_pair("Weed the bed", "Beet jäten", "de", encoder)
+    schema = "id long, lang string, src string, tgt string"
+    pairs_ = spark.createDataFrame([(n, lang, "Weed the bed", f"Beet {n}") for n, lang in enumerate(["de", "fr", "th"] * 4)], schema).repartition(3)
+    assert A.align(pairs_).count() == 12
+
+
 def test_rarest_feature_when_all_are_common(spark):
     posted = spark.createDataFrame([(n, f"w:{w}", i, 9 if w != "z" else 8, 5) for n in (1, 2) for i, w in enumerate("yz")] + [(3, "w:y", 0, 9, 5)], "node long, feature string, place int, n long, size int")
     assert [tuple(r) for r in redundancy.candidate_pairs(posted, 5).collect()] == [(1, 2)]
