@@ -190,13 +190,13 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = written(nodes(spark, sf_dir), "nodes")
-    pairs_ = redundancy.candidate_pairs(written(redundancy.postings(own), "postings"))
+    pairs_ = redundancy.candidate_pairs(written(redundancy.postings(own), "postings"), threshold=0.85)
     return redundancy.fuzzy_edges(own, pairs_).select("a", "b", T.round_half_up(F.col("similarity"), 6).alias("similarity"))
 
 
 def fuzzy_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = written(nodes(spark, sf_dir), "nodes")
-    pairs_ = redundancy.candidate_pairs(written(redundancy.postings(own), "postings"))
+    pairs_ = redundancy.candidate_pairs(written(redundancy.postings(own), "postings"), threshold=0.85)
     return redundancy.fuzzy_components(written(redundancy.fuzzy_edges(own, pairs_), "edges"))
 
 
