@@ -40,4 +40,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    found = materialise(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    drop(now)
+    return found

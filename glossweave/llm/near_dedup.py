@@ -3,17 +3,19 @@
 1. Every text becomes its set of word shingles (64-bit hashes), a 128-bit digest of that set, `bands` hashes of `rows` universal-hash
    minima each, and one byte of every minimum. Texts with equal sets form a class, which its least row represents from here on.
 2. Two classes that share a band are candidates. A bucket isn't expanded into pairs: its members are compared with one pivot, the
-   member that meets most others over all its bands. Links found so far give components. Where a bucket still holds several, its
-   members are dealt to blocks of bounded size, and pairs of blocks are compared inside tasks that emit links alone. No bucket is
-   capped.
+   member that meets most others over all its bands. A pivot's set goes to one place, or to `_SPREAD` if it has a large
+   share of all pairs, and members to it. Links found so far
+   give components. Where a bucket still holds several, its members are dealt to blocks of bounded size, and the blocks of that
+   bucket are compared in pairs inside tasks that emit links alone; of buckets with the same members one is enough. No bucket is capped.
 3. Candidates whose signatures agree too little are dropped (six standard deviations below the threshold); the others are confirmed
    on the full shingle sets, made again from the texts of candidates only.
-4. Large-star and small-star steps give the components.
+4. Large-star and small-star steps give the components. Least ids are combined by class, then by component, and come back in joins
+   that don't move the rows of large classes and components.
 
 With 56 bands of 5 rows two sets of similarity 0.75 share no band with a chance of 3e-7, more similar ones with less.
 Cases: a null or blank text has an empty set, is linked with nothing and kept; a row without doc_id has a null component, links
-nothing and is kept; repeated rows with one doc_id share its component; an empty table gives an empty result;
-other columns of the input are untouched, whatever their names.
+nothing and is kept; repeated rows with one doc_id and text share a component, and drop_near_duplicates() keeps one row of each component,
+of its least doc_id; an empty table gives an empty result; other columns of the input are untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import map_arrow, ship
 from .components import components
-from .storage import materialise
+from .skew import join_counted
+from .storage import drop, materialise
 from .text import mix, words
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +46,7 @@ class Params:
     #: Links need least_num * union <= least_den * intersection.
     least_num: int = 75
     least_den: int = 100
+    #: At most 64.
     bands: int = 56
     rows: int = 5
     seed: int = 7
@@ -113,7 +117,9 @@ def _profiles(docs: DataFrame, p: Params) -> DataFrame:
                     grouped = np.zeros((len(some), p.bands), np.uint64)
                     for j in range(p.rows):
                         grouped = grouped * _STEP + minima[:, j :: p.rows].astype(np.uint64) + np.uint64(1)
-                    grouped = mix(grouped + np.arange(p.bands, dtype=np.uint64) * _STEP).view(np.int64)
+                    column = np.arange(p.bands, dtype=np.uint64)
+                    # a band's low bits are its column
+                    grouped = (mix(grouped + column * _STEP) & ~np.uint64(63) | column).view(np.int64)
                     for n, i in enumerate(some):
                         bands[i], sig[i] = grouped[n], low[n].tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -138,7 +144,7 @@ _PLACES = 1 << 23
 
 
 def _perhaps(ids: DataFrame) -> Callable[[Column], Column]:
-    """A test of ids (doc_id) by a bitmap of their hashes: never false for one of them, seldom true for others.
+    """A test of ids (doc_id, a long) by a bitmap of their hashes: never false for one of them, seldom true for others.
 
     It keeps rows that a join would drop anyway out of the join's shuffle, texts above all."""
     ship(ids.sparkSession)
@@ -155,18 +161,23 @@ def _perhaps(ids: DataFrame) -> Callable[[Column], Column]:
     return lambda c: held(place(c))
 
 
+def _only(classes: DataFrame, rids: DataFrame) -> DataFrame:
+    """classes without most of those that aren't in rids (rid): they needn't be shuffled."""
+    return classes.where(_perhaps(rids.select(F.col("rid").alias("doc_id")))(F.col("rid")))
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """Pairs (a, b) of classes whose signatures agree in enough bytes."""
+    """Pairs (pivot, rid) of classes whose signatures agree in enough bytes."""
     need = p.floor * p.bands * p.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((left == right).sum(1) >= need))
+            yield batch.select(["pivot", "rid"]).filter(pa.array((left == right).sum(1) >= need))
 
-    sig = classes.select("rid", "sig")
-    joined = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-    return map_arrow(joined, run, "a long, b long")
+    sig = materialise(_only(classes, pairs.select(F.explode(F.array("pivot", "rid")).alias("rid"))).select("rid", "sig"), "signatures")
+    joined = pairs.join(sig.toDF("pivot", "sig_p"), "pivot").join(sig.toDF("rid", "sig_r"), "rid").select("pivot", "rid", "sig_p", "sig_r")
+    return map_arrow(joined, run, "pivot long, rid long")
 
 
 def _sets(rids: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
@@ -193,37 +204,55 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+#: Places that the members of a hot pivot are dealt to; a pivot is hot with over 1000 pairs and more than one in so many of all.
+_SPREAD, _HOT = 256, 10_000
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    own = materialise(_sets(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), docs, classes, p), "shingles")
+    """Links (a, b) of the pairs (pivot, rid) whose full sets are similar enough."""
+    own = _sets(pairs.select(F.explode(F.array("pivot", "rid")).alias("rid")).distinct(), docs, classes, p)
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = _shared(x, y)
-                keep.append(p.least_den * shared >= p.least_num * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(own.toDF("b", "right"), "b").join(own.toDF("a", "left"), "a").select("a", "b", "left", "right")
-    return map_arrow(joined, similar, "a long, b long")
+            links = []
+            for now, rid, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                y = np.frombuffer(raw.as_buffer(), np.uint64)
+                if rid is None:  # the pivot's own set comes before those of its members
+                    pivot, x = now, y.copy()
+                elif now == pivot:
+                    shared = _shared(x, y)
+                    if p.least_den * shared >= p.least_num * (len(x) + len(y) - shared):
+                        links.append((min(pivot, rid), max(pivot, rid)))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    hot = pairs.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > max(1000, pairs.count() // _HOT)).select("pivot", F.lit(_SPREAD).alias("spread"))
+    dealt = pairs.join(F.broadcast(hot), "pivot", "left").select("pivot", "rid", F.pmod(F.xxhash64("rid"), F.coalesce("spread", F.lit(1))).alias("place"))
+    # one join, on what already deals the sets by rid
+    centres = dealt.select("pivot", "place").distinct().select("pivot", "place", F.lit(None).cast("long").alias("member"), F.col("pivot").alias("rid"))
+    ends = centres.unionByName(dealt.select("pivot", "place", F.col("rid").alias("member"), "rid"))
+    met = own.join(ends, "rid").select("pivot", "place", F.col("member").alias("rid"), "shingles")
+    met = met.repartition("pivot", "place").sortWithinPartitions("pivot", "place", F.asc_nulls_first("rid"))
+    return materialise(map_arrow(met, similar, "a long, b long"), "links")
 
 
 #: Shingles in a block of documents (a document counts for 512 at least).
 _BLOCK = 1 << 18
 
 
+def _alike(i: int, size: np.ndarray, sig: np.ndarray, root: np.ndarray, side: np.ndarray, p: Params) -> np.ndarray:
+    """Members of the other block, of another root than i's, whose sizes and signatures allow a link to it."""
+    right = np.flatnonzero((root != root[i]) & ((side == 1) if side[i] == 0 else np.arange(len(size)) > i))
+    right = right[p.least_den * np.minimum(size[i], size[right]) >= p.least_num * np.maximum(size[i], size[right])]
+    return right[(sig[right] == sig[i]).sum(1) >= p.floor * p.bands * p.rows]
+
+
 def block_links(sets: list[np.ndarray], sig: np.ndarray, root: np.ndarray, side: np.ndarray, p: Params) -> list[tuple[int, int]]:
     """Similar pairs of two blocks (side 0 and 1; 2: one block with itself) whose roots differ."""
-    left = np.flatnonzero(side != 1)
     size = np.array([len(s) for s in sets], np.int64)
-    need, out = p.floor * p.bands * p.rows, []
-    column: np.ndarray | None = None
-    for i in left:
-        right = np.flatnonzero((root != root[i]) & ((side == 1) if side[i] == 0 else np.arange(len(sets)) > i))
-        right = right[p.least_den * np.minimum(size[i], size[right]) >= p.least_num * np.maximum(size[i], size[right])]
-        right = right[(sig[right] == sig[i]).sum(1) >= need]
+    out, column = [], None
+    for i in np.flatnonzero(side != 1):
+        right = _alike(i, size, sig, root, side, p)
         if len(right) > 8:
             if column is None:
                 flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
@@ -238,13 +267,35 @@ def block_links(sets: list[np.ndarray], sig: np.ndarray, root: np.ndarray, side:
     return out
 
 
-def _between(rest: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """All links between members (rid, root, n_shingles) of one bucket, named by its head, whose roots differ.
+def _by_task(given: DataFrame, function: Callable[[list[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
+    """function over the rows of each task (first column), all of them at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                    if now is not None and row[0] != now:
+                        yield function(held)
+                        held = []
+                    now = row[0]
+                    held.append(row)
+        if held:
+            yield function(held)
+
+    return map_arrow(given.repartition("task").sortWithinPartitions("task"), run, schema)
 
-    Buckets that share members are one group. A group's members are dealt to blocks of bounded size, those of a large root to blocks of
-    its own, and each pair of blocks that can hold different roots is compared inside one task. Only links leave it."""
-    group = components(rest.where("rid <> head").select(F.col("rid").alias("a"), F.col("head").alias("b"))).toDF("rid", "grp")
-    named = rest.select("rid", "root", "n_shingles").distinct().join(group, "rid")
+
+def _between(rest: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """All links between members (band, rid, root, n_shingles) of one bucket whose roots differ.
+
+    A bucket's members are dealt to blocks of bounded size, those of a large root to blocks of its own, and each pair of its blocks that
+    can hold different roots is compared inside one task, first by signatures, then by the sets of those that are alike. Only members
+    and links leave it."""
+    # near copies share many bands: of buckets with the same members the one of the first column is enough
+    marks = rest.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("h2"))
+    buckets = marks.groupBy("n", "h1", "h2").agg(F.min(F.struct(F.col("band").bitwiseAND(63).alias("column"), "band"))["band"].alias("band")).select("band")
+    named = materialise(rest.join(buckets, "band", "left_semi").select("rid", "root", "n_shingles", F.col("band").alias("grp")), "buckets")
     weight = F.sum(F.greatest("n_shingles", F.lit(512))).alias("weight")
     by_root = named.groupBy("grp", "root").agg(weight).withColumn("own", F.col("weight") > _BLOCK)
     small = by_root.where("not own").groupBy("grp").agg(F.sum("weight").alias("small"))
@@ -259,71 +310,92 @@ def _between(rest: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) ->
     same = (F.col("owner") == F.col("owner2")) & (F.col("n") == F.col("n2"))
     first = tasks.select("grp", "owner", "n", "task", F.when(same, 2).otherwise(0).alias("side"))
     second = tasks.where(~same).select("grp", F.col("owner2").alias("owner"), F.col("n2").alias("n"), "task", F.lit(1).alias("side"))
-    sets = materialise(_sets(members.select("rid").distinct(), docs, classes, p).join(classes.select("rid", "sig"), "rid"), "shingles")
-    given = members.join(sets, "rid").join(first.unionByName(second), ["grp", "owner", "n"]).select("task", "side", "rid", "root", "sig", "shingles")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            side, rid, root, sig, raw = zip(*held, strict=True)
-            held.clear()
-            found = block_links([np.frombuffer(x, np.uint64) for x in raw], np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), np.array(root), np.array(side), p)
-            return pa.RecordBatch.from_arrays([pa.array([min(rid[i], rid[j]) for i, j in found], pa.int64()), pa.array([max(rid[i], rid[j]) for i, j in found], pa.int64())], ["a", "b"])
+    sides = first.unionByName(second)
+    own = materialise(_only(classes, members.select("rid")).select("rid", "sig", "bands", "n_shingles"), "own")
+    signed = members.join(sides, ["grp", "owner", "n"]).select("task", "side", "rid", "root", "grp").join(own, "rid")
+    signed = signed.select("task", "side", "rid", "root", "sig", "n_shingles", "bands", "grp")
+
+    def candidates(held: list[tuple]) -> pa.RecordBatch:
+        task, side, rid, root, sig, size, bands, grp = zip(*held, strict=True)
+        side, root, size, bands = np.array(side), np.array(root), np.array(size), np.array(bands)
+        sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
+        some = np.zeros(len(rid), bool)
+        for i in np.flatnonzero(side != 1):
+            right = _alike(i, size, sig, root, side, p)
+            # a pair is compared where it meets first
+            right = right[(bands[right] == bands[i]).argmax(1) == grp[0] & 63] if len(right) else right
+            some[right] = True
+            some[i] |= len(right) > 0
+        some = np.flatnonzero(some)
+        return pa.RecordBatch.from_arrays([pa.array([c[i] for i in some], pa.int64()) for c in (task, side, rid, root)], ["task", "side", "rid", "root"])
+
+    # most members of a bucket meet nobody that is alike: signatures say so, and only the others' sets are moved
+    met = materialise(_by_task(signed, candidates, "task long, side long, rid long, root long"), "alike")
+    sets = _sets(met.select("rid").distinct(), docs, classes, p).join(_only(own, met).select("rid", "sig"), "rid")
+    given = sets.join(met, "rid").select("task", "side", "rid", "root", "sig", "shingles")
+
+    def confirmed(held: list[tuple]) -> pa.RecordBatch:
+        _, side, rid, root, sig, raw = zip(*held, strict=True)
+        found = block_links([np.frombuffer(x, np.uint64) for x in raw], np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), np.array(root), np.array(side), p)
+        return pa.RecordBatch.from_arrays([pa.array([min(rid[i], rid[j]) for i, j in found], pa.int64()), pa.array([max(rid[i], rid[j]) for i, j in found], pa.int64())], ["a", "b"])
+
+    out = materialise(_by_task(given, confirmed, "a long, b long").distinct(), "links")
+    for table in (named, members, own, met):
+        drop(table)
+    return out
 
-        now = None
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                for task, *row in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    if now is not None and task != now:
-                        yield flush()
-                    now = task
-                    held.append(tuple(row))
-        if held:
-            yield flush()
 
-    return map_arrow(given.repartition("task").sortWithinPartitions("task"), run, "a long, b long")
+def link(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_id, n_shingles, key, component_id, first) of every row; first: whether its class and doc_id are its component's to keep."""
+    written: list[DataFrame] = []
 
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        written.append(materialise(df, name))
+        return written[-1]
 
-def link(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(rid, doc_id, n_shingles, component_id, first) of every row; first: the one row of its component to keep."""
-    rows = materialise(_profiles(docs, p), "profiles")
+    rows = kept(_profiles(docs, p), "profiles")
+    linked = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # the class's least row stands for it
-    reps = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("rid").alias("rid"))
-    classes = materialise(rows.join(reps.select("rid"), "rid", "left_semi"), "classes")
+    reps = kept(linked.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("rows")), "representatives")
+    # most rows are the only ones of their classes: those that may not be are few to move
+    doubles = kept(linked.select("rid").join(reps.select("rid"), "rid", "left_anti"), "doubles")
+    maybe = _perhaps(doubles.select(F.col("rid").alias("doc_id")))(F.col("rid"))
+    split = linked.withColumn("double", maybe)
+    doubtful = split.where("double").join(doubles, "rid", "left_anti")
+    classes = kept(split.where("not double").unionByName(doubtful).drop("double"), "classes")
     band = classes.select("rid", "n_shingles", F.explode("bands").alias("band")).repartition("band")
     shared = band.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(band.join(shared, "band"), "members")
+    members = kept(band.join(shared, "band"), "members")
     weight = members.groupBy("rid").agg(F.sum("size").alias("weight"))
-    pivots = members.join(weight, "rid").groupBy("band").agg(F.max_by("rid", F.struct("weight", -F.col("rid"))).alias("pivot"), F.max_by("n_shingles", F.struct("weight", -F.col("rid"))).alias("pivot_n"))
+    # the order of pivots is one over all buckets, so a pair comes only one way round
+    most = F.struct("weight", -F.col("rid"))
+    pivots = members.join(weight, "rid").groupBy("band").agg(F.max_by("rid", most).alias("pivot"), F.max_by("n_shingles", most).alias("pivot_n"))
     close = lambda n, m: p.least_den * F.least(n, m) >= p.least_num * F.greatest(n, m)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = members.join(pivots, "band").where((F.col("rid") != F.col("pivot")) & close(F.col("n_shingles"), F.col("pivot_n"))).select(*pair(F.col("rid"), F.col("pivot"))).distinct()
-    tried = materialise(_agreeing(stars, classes, p), "stars")
-    links = materialise(_confirmed(tried, docs, classes, p), "links")
-    roots = materialise(components(links), "roots")
+    stars = members.join(pivots, "band").where((F.col("rid") != F.col("pivot")) & close(F.col("n_shingles"), F.col("pivot_n"))).select("pivot", "rid").distinct()
+    tried = kept(_agreeing(kept(stars, "stars"), classes, p), "tried")
+    written.append(links := _confirmed(tried, docs, classes, p))
+    written.append(roots := components(links))
 
     # what a star can't show: links between members of one bucket that no chain of links joins yet
     labelled = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    open_ = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rid").alias("head")).where("lo < hi").select("band", "head")
-    rest = materialise(labelled.join(open_, "band").select("rid", "root", "n_shingles", "head"), "rest")
+    open_ = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    rest = kept(labelled.join(open_, "band", "left_semi").select("band", "rid", "root", "n_shingles"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(materialise(_between(rest, docs, classes, p), "links"))
-        roots = materialise(components(links), "roots")
+        written.append(more := _between(rest, docs, classes, p))
+        written.append(roots := components(links.unionByName(more)))
 
     # class -> component -> least doc_id
-    of_key = reps.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("key", F.coalesce("root", "rid").alias("root"))
-    placed = rows.drop("bands", "sig").join(of_key, "key", "left").withColumn("root", F.coalesce("root", "rid"))
-    placed = materialise(placed, "placed")
-    least = placed.where("doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "rid")).getField("rid").alias("best"))
-    out = placed.join(least, "root", "left")
-    return out.select(
-        "rid",
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-        (F.col("doc_id").isNull() | (F.col("rid") == F.col("best"))).alias("first"),
-    )
+    placed = kept(reps.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("key", "least", "rows", F.coalesce("root", "rid").alias("root")), "placed")
+    of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct("least", "key"))["key"].alias("best"), F.count("*").alias("rows"))
+    total = rows.count()
+    of_key = kept(join_counted(placed.withColumnRenamed("rows", "own"), of_root, ["root"], total).select("key", "component_id", "best", F.col("own").alias("rows")), "classes")
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("best"))
+    found = join_counted(linked.select("doc_id", "n_shingles", "key"), of_key, ["key"], total).select("doc_id", "n_shingles", "key", "component_id", first.alias("first"))
+    others = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    out = materialise(found.unionByName(others), "linked")
+    for table in written:
+        drop(table)
+    return out
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -331,12 +403,35 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return link(docs, p).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _free(columns: list[str], name: str) -> str:
+    """A column name that isn't among these, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of docs but for all except one of each group; all columns stay. Rows without doc_id stay."""
-    gone = link(docs, p).where("doc_id is not null").groupBy("doc_id").agg(F.max("first").alias("stays")).where(~F.col("stays")).select("doc_id")
-    gone = materialise(gone, "gone")
-    # most rows surely stay and needn't be shuffled
-    maybe = F.coalesce(_perhaps(gone)(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.lit(False)) & F.col("doc_id").isNotNull()
-    marked = docs.withColumn("__maybe_gone", maybe)
-    doubtful = marked.where("__maybe_gone").join(gone.select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return marked.where("not __maybe_gone").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
+    """The rows of docs but for all except one of each group; all columns stay. Rows without doc_id and without words stay.
+
+    Of rows that repeat the doc_id and the words of the one to keep, one stays (which, if other columns differ, isn't said)."""
+    found = link(docs, p).where("doc_id is not null and n_shingles > 0").groupBy("doc_id", "key").agg(F.max("first").alias("stays"), F.count("*").alias("n"))
+    doubtful = materialise(found.where("not stays or n > 1").select("doc_id", "key", "stays"), "doubtful")
+    # rows of other ids surely stay and needn't be shuffled
+    mark, key, row = (_free(docs.columns, x) for x in ("__maybe", "__key", "__row"))
+    maybe = F.coalesce(_perhaps(doubtful)(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.lit(False)) & F.col("doc_id").isNotNull()
+    marked = docs.withColumn(mark, maybe)
+
+    @F.pandas_udf("binary")
+    def set_key(texts: pd.Series) -> pd.Series:
+        parts = words(pa.array(texts, pa.string(), from_pandas=True))
+        return pd.Series([digest(s) for _, _, w in parts for s in shingle_sets(w.hashes, w.bounds, p.shingle)], dtype=object)
+
+    some = marked.where(mark).drop(mark).withColumn(key, set_key(F.col("text").cast("string")))
+    some = materialise(some.withColumn(row, F.monotonically_increasing_id()), "doubtful")
+    named = some.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"))
+    best = named.groupBy("doc_id", "key").agg(F.min(row).alias("best"), F.count("*").alias("rows")).join(doubtful, ["doc_id", "key"])
+    judged = join_counted(named, best.select("doc_id", "key", F.when(F.col("stays"), F.col("best")).alias("best"), "rows"), ["doc_id", "key"], some.count())
+    gone = judged.where(F.col("best").isNull() | (F.col("best") != F.col(row))).select(row)
+    left = some.join(gone, row, "left_anti").select(*docs.columns)
+    return marked.where(~F.col(mark)).select(*docs.columns).unionByName(left)

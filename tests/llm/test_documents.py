@@ -100,6 +100,28 @@ def test_near_duplicates_without_ids_and_empty(spark):
     assert [tuple(r) for r in kept.collect()] == [(3, "q w e r t y", "y")]
 
 
+def test_drop_near_duplicates(spark):
+    drop = lambda rows, columns="doc_id long, text string": sorted(map(repr, map(tuple, near_dedup.drop_near_duplicates(spark.createDataFrame(rows, columns).repartition(3)).collect())))
+    text = "one two three four five six"
+    assert drop([(1, text), (1, text), (2, text)]) == [repr((1, text))]
+    # one id with several texts: the one of its component stays, others are judged by themselves
+    assert drop([(4, text), (4, "quite another text with six words"), (5, text)]) == sorted(map(repr, [(4, text), (4, "quite another text with six words")]))
+    odd = [(None, text), (None, text), (7, None), (7, None), (8, ""), (9, " \n")]
+    assert drop([*odd, (3, text)]) == sorted(map(repr, [*odd, (3, text)]))
+    assert drop([(3, text, 1, "a", 2), (2, text.upper(), 5, "b", 3)], "doc_id long, text string, __maybe int, key string, __Row int") == [repr((2, text.upper(), 5, "b", 3))]
+    assert drop([]) == []
+
+
+def test_large_group_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i % 7 + 10, text) for i in range(900)] + [(i + 100, f"{text} w{i}") for i in range(300)] + [(i + 1000, f"alone {i} is not like the others at all {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = near_dedup.near_duplicates(df)
+    assert {(r["n_shingles"], r["component_id"], r["doc_id"]) for r in got.where("doc_id < 1000").collect()} == {(36 + (i >= 100), 10, i) for i in [*range(10, 17), *range(100, 400)]}
+    assert got.count() == len(rows) and {r["doc_id"] for r in near_dedup.drop_near_duplicates(df).collect()} == {10, *range(1000, 1050)}
+    assert near_dedup.drop_near_duplicates(df).count() == 51
+
+
 def test_blocks_equal_brute_force():
     p = near_dedup.Params()
     rng = np.random.default_rng(3)
