@@ -96,19 +96,19 @@ def test_words_of_whole_texts(spark, corpus):
     texts = [x["text"] or "" for x in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     want = Counter(w for t in texts for w in "".join(c if c.isalnum() else " " for c in t).split())
     assert want["BRÜCKE"] > 100 and want["été"] > 100
-    assert {x["word"]: x["n"] for x in queries.text_words(spark, folder).collect()} == want
-    assert {x["word"] for x in queries.text_lemmas(spark, folder).collect()} == set(want)
-    assert "brücke" in {x["id"] for x in queries.text_terms(spark, folder).collect()}
+    assert {x["word"]: x["n"] for x in queries.words_tokens(spark, folder).collect()} == want
+    assert {x["word"] for x in queries.lemmas(spark, folder).collect()} == set(want)
+    assert "brücke" in {x["id"] for x in queries.term_list(spark, folder).collect()}
 
 
 def test_all_part_keys(spark):
     sf = "/root/testdata/sf0.001"
-    assert queries.all_page_keys(spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count() + 4
+    assert queries.page_keys(spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count() + 4
 
 
 def test_full_scan_counts_near_duplicates(spark, tmp_path):
     names = ["green delivery note"] * 4 + ["green delivery notes", "two words", "blue pallet", "red pallet exchange"]
     spark.createDataFrame(list(enumerate(names, 3)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    [row] = queries.full_scan_summary(spark, str(tmp_path)).collect()
+    [row] = queries.scan_summary(spark, str(tmp_path)).collect()
     assert (row["fuzzy_keys"], row["fuzzy_groups"], row["redundant_keys"], row["redundant_percent"]) == (5, 1, 5, 62.5)
     assert row["duplicate_or_variant_keys"] == 4
