@@ -277,7 +277,7 @@ def _blocks(benchmark: DataFrame, p: Params) -> Iterator[list]:
         yield [(r.item_id, r.text) for r in some.collect()]
 
 
-def _slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[str | None], size: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     raw, first, held = [], 0, 0
     for i, r in enumerate(_bytes(texts)):
         raw.append(r)

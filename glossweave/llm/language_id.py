@@ -38,7 +38,7 @@ from .tokens import tokenizer_path
 
 _LETTER = re.compile(r"[^\W\d_]")
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_CACHE = 1 << 21
+_CACHE = 1 << 20
 #: Bytes of words whose arcs are held at once; a longer word is swept in sections of this size.
 SECTION = 1 << 16
 #: Steps after which forward sums are rescaled, and numbers (states times languages) held at once.
@@ -339,7 +339,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         scorer = _Scorer(model) if model.languages else None
         for batch in batches:
-            for lo, hi, w in gathered(words(batch.column(at)), max(1 << 18, min(1 << 22, (1 << 24) // max(1, len(model.languages))))):
+            for lo, hi, w in gathered(words(batch.column(at)), max(1 << 18, min(1 << 21, (1 << 24) // max(1, len(model.languages))))):
                 part = batch.slice(lo, hi - lo)
                 pred, score = ["und"] * (hi - lo), np.zeros(hi - lo)
                 if scorer:

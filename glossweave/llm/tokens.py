@@ -35,7 +35,7 @@ class Encoder:
     other tokenizer files.
     """
 
-    def __init__(self, path: str, most: int = 800_000, plain: bool = False):
+    def __init__(self, path: str, most: int = 400_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -228,7 +228,7 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, most: int = 800_000, plain: bool = False) -> Encoder:
+def encoder(path: str, most: int = 400_000, plain: bool = False) -> Encoder:
     """One Encoder a Python worker, file and kind."""
     if (path, most, plain) not in _encoders:
         _encoders[path, most, plain] = Encoder(path, most, plain)
