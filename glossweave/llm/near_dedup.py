@@ -194,7 +194,8 @@ def _sets(rids: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> Da
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     texts = texts.where(_perhaps(wanted.select(F.col("wanted_id").alias("doc_id")))(F.col("doc_id")))
     # a doc_id of several rows brings texts of other sets too (dropped by the digest); equal rows are dropped after
-    own = wanted.join(texts, F.col("wanted_id") == F.col("doc_id")).select("rid", "key", "text")
+    # merged, never broadcast: the test of texts and the sets in one stage would take two Python workers a core
+    own = wanted.hint("merge").join(texts, F.col("wanted_id") == F.col("doc_id")).select("rid", "key", "text")
     return map_arrow(own, sets, "rid long, shingles binary").dropDuplicates(["rid"])
 
 
@@ -427,8 +428,9 @@ def drop_near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
         parts = words(pa.array(texts, pa.string(), from_pandas=True))
         return pd.Series([digest(s) for _, _, w in parts for s in shingle_sets(w.hashes, w.bounds, p.shingle)], dtype=object)
 
-    some = marked.where(mark).drop(mark).withColumn(key, set_key(F.col("text").cast("string")))
-    some = materialise(some.withColumn(row, F.monotonically_increasing_id()), "doubtful")
+    # written between the two functions: both in one stage would take two Python workers a core
+    some = materialise(marked.where(mark).drop(mark).withColumn(row, F.monotonically_increasing_id()), "marked")
+    some = materialise(some.withColumn(key, set_key(F.col("text").cast("string"))), "doubtful")
     named = some.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"))
     best = named.groupBy("doc_id", "key").agg(F.min(row).alias("best"), F.count("*").alias("rows")).join(doubtful, ["doc_id", "key"])
     judged = join_counted(named, best.select("doc_id", "key", F.when(F.col("stays"), F.col("best")).alias("best"), "rows"), ["doc_id", "key"], some.count())
