@@ -144,16 +144,17 @@ class Packer:
             yield out
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, limits: Limits = Limits(), prompt_tokens: str | int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, limits: Limits = Limits(), prompt_tokens: str | int = 0, chunks: int = 800_000) -> DataFrame:
     """Pieces of all documents (doc_id, text), with their ids as unsigned little-endian 32-bit integers. Columns: PIECES.
 
-    prompt_tokens: so many ids at the front of a document bear no loss, or the integer column that says how many (null: 0)."""
+    prompt_tokens: so many ids at the front of a document bear no loss, or the integer column that says how many (null: 0).
+    chunks: of words that a worker's encoder keeps; fewer take less memory and more time."""
     prompt: Column = F.coalesce(F.col(prompt_tokens).cast("long"), F.lit(0).cast("long")) if isinstance(prompt_tokens, str) else F.lit(prompt_tokens).cast("long")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), prompt.alias("prompt"))
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = encoder(tokenizer_path(tokenizer)), Packer(limits)
+        coder, packer = encoder(tokenizer_path(tokenizer), chunks), Packer(limits)
         base = TaskContext.get().partitionId() << 40
         serial = 0
 
