@@ -39,7 +39,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, with their ids, in sequences of at most 4096 ids."""
-    return packing.pack(docs, limits=LIMITS, prompt_tokens=CONTEXT)
+    # workers hold what earlier stages left, so the encoder keeps less than in a job of its own
+    return packing.pack(docs, limits=LIMITS, prompt_tokens=CONTEXT, chunks=400_000)
 
 
 STAGES = [("language_id", keep_languages), ("near_dedup", drop_copies), ("decontamination", drop_leaks), ("packing", pack)]
