@@ -25,12 +25,15 @@ no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
@@ -40,6 +43,8 @@ from .text import Words, gathered, mix, words
 START, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x27D4EB2F165667C5)
 _PAIR, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _KEY = np.uint64((1 << 40) - 1)
+#: Bytes of text whose tokens a worker holds at once, and those after which an Arrow batch ends.
+_PIECE, _BATCH = 1 << 21, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -174,7 +179,7 @@ def _counts(docs: DataFrame, buckets: int, p: Params) -> DataFrame:
 
         held = 0
         for batch in batches:
-            for _, _, w in gathered(words(batch.column(0)), 1 << 21):
+            for _, _, w in gathered(words(batch.column(0)), _PIECE):
                 one, before, _ = sequence(w)
                 tokens.append(one)
                 pairs.append(pair(before, one))
@@ -292,7 +297,7 @@ def _score_broadcast(given: DataFrame, model: DataFrame, known, buckets: int, p:
         table = Filter(*shared.value, buckets, p)
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for lo, hi, w in gathered(words(batch.column(2)), 1 << 21):
+            for lo, hi, w in gathered(words(batch.column(2)), _PIECE):
                 yield _scored(np.arange(rid, rid + hi - lo), batch.slice(lo, hi - lo), w, table.levels, known.value, p)
                 rid += hi - lo
 
@@ -301,68 +306,81 @@ def _score_broadcast(given: DataFrame, model: DataFrame, known, buckets: int, p:
     return out
 
 
-_CHUNK = "chunk long, doc_id array<long>, held_out array<boolean>, text array<string>"
-_KEYS = "bucket long, kind int, chunk long, data binary"
+_CHUNK = "chunk long, at long, doc_id long, held_out boolean, text string"
+_KEYS = "bucket long, kind int, chunk long, part long, data binary"
+
+
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of the runs of rows in which the first columns are equal and the last one counts up."""
+    *same, last = columns
+    breaks = np.diff(last) != 1
+    for c in same:
+        breaks |= np.diff(c) != 0
+    yield from pairwise([0, *(np.flatnonzero(breaks) + 1).tolist(), len(last)])
 
 
 def _score_dealt(given: DataFrame, model: DataFrame, known, buckets: int, tasks: int, p: Params) -> DataFrame:
     """_SCORED of all texts, with the keys of each chunk probed at the buckets that hold them."""
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = TaskContext.get().partitionId() << 33, [], 0
-
-        def closed() -> pa.RecordBatch:
-            nonlocal chunk
-            table = pa.Table.from_batches(held).combine_chunks()
-            chunk += 1
-            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), c.combine_chunks())
-            return pa.RecordBatch.from_arrays([pa.array([chunk]), *map(whole, table.columns)], ["chunk", "doc_id", "held_out", "text"])
-
+        chunk, at, size = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
-            lo = 0
-            for hi in range(1, batch.num_rows + 1):
-                text = batch.column(2)[hi - 1]
-                size += 64 + (len(text.as_buffer()) if text.is_valid else 0)
+            chunks, places = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
+            for i, n in enumerate(pc.binary_length(batch.column(2)).to_pylist()):
+                chunks[i], places[i] = chunk, at
+                at, size = at + 1, size + 64 + (n or 0)
                 if size >= p.chunk_bytes:
-                    held.append(batch.slice(lo, hi - lo))
-                    yield closed()
-                    held, size, lo = [], 0, hi
-            if lo < batch.num_rows:
-                held.append(batch.slice(lo))
-        if held:
-            yield closed()
+                    chunk, at, size = chunk + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(places), *batch.columns], [x.split()[0] for x in _CHUNK.split(", ")])
 
     chunks = materialise(map_arrow(given, chunked, _CHUNK), "chunks")
 
-    def whole(texts: pa.Array) -> Words:
-        ((_, _, w),) = gathered(words(texts), 1 << 62)
-        return w
+    def some_keys(texts: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, w in gathered(words(texts), _PIECE):
+            tokens, before, _ = sequence(w)
+            yield np.unique(np.concatenate([tokens, pair(before, tokens)]))
 
-    def distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct hashes of a chunk by bucket, and their buckets."""
-        tokens, before, _ = sequence(w)
-        keys = np.unique(np.concatenate([tokens, pair(before, tokens)]))
-        bucket = bucket_of(keys, buckets)
+    def by_bucket(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct ones by bucket, and their buckets."""
+        one = np.unique(np.concatenate(keys))
+        bucket = bucket_of(one, buckets)
         order = np.argsort(bucket, kind="stable")
-        return keys[order], bucket[order]
+        return one[order], bucket[order]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where a file is read in splits, a chunk can lie in two tasks: a part is what one of them has, named by its first row."""
+        held: list[np.ndarray] = []
+        chunk = part = end = -1
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            keys, bucket = by_bucket(held)
+            held.clear()
+            own, first = np.unique(bucket, return_index=True)
+            ends = np.append(first[1:], len(keys))
+            low = (keys & _KEY).view(np.uint8).reshape(-1, 8)[:, :5]
+            for at in range(0, len(own), 4096):
+                data = [low[i:j].tobytes() for i, j in zip(first[at : at + 4096], ends[at : at + 4096], strict=True)]
+                n = len(data)
+                columns = [pa.array(own[at : at + n]), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, chunk)), pa.array(np.full(n, part)), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "chunk", "part", "data"])
+
         for batch in batches:
-            for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, bucket = distinct(whole(texts.values))
-                own, first = np.unique(bucket, return_index=True)
-                ends = np.append(first[1:], len(keys))
-                low = (keys & _KEY).view(np.uint8).reshape(-1, 8)[:, :5]
-                for at in range(0, len(own), 4096):
-                    data = [low[i:j].tobytes() for i, j in zip(first[at : at + 4096], ends[at : at + 4096], strict=True)]
-                    n = len(data)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at : at + n]), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, chunk)), pa.array(data, pa.binary())], ["bucket", "kind", "chunk", "data"])
+            c, at = (batch.column(i).to_numpy() for i in (0, 1))
+            for lo, hi in _runs(c, at) if len(c) else ():
+                if held and (c[lo], at[lo]) != (chunk, end):
+                    yield from closed()
+                if not held:
+                    chunk, part = int(c[lo]), int(at[lo])
+                held += some_keys(batch.column(2).slice(lo, hi - lo))
+                end = at[hi - 1] + 1
+        if held:
+            yield from closed()
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bits = None, np.zeros(0, np.uint8)
         for batch in batches:
             out = []
-            for bucket, kind, chunk, data in zip(*batch.columns, strict=True):
+            for bucket, kind, chunk, part, data in zip(*batch.columns, strict=True):
                 bucket, data = bucket.as_py(), np.frombuffer(data.as_buffer(), np.uint8)
                 if kind.as_py() == 0:  # a bucket's filter comes before the keys to probe
                     now, bits = bucket, data.copy()
@@ -372,58 +390,79 @@ def _score_dealt(given: DataFrame, model: DataFrame, known, buckets: int, tasks:
                 wide[:, :5] = data.reshape(-1, 5)
                 size = np.full(n, 8 * len(bits) if bucket == now else 0, np.uint64)
                 found = probe(bits, wide.view(np.uint64).ravel(), np.full(n, bucket), size, np.zeros(n, np.int64), p)
-                out.append((chunk.as_py(), bucket, found.astype(np.uint8).tobytes()))
+                out.append((chunk.as_py(), part.as_py(), bucket, found.astype(np.uint8).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "levels"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "at", "bucket", "levels"])
 
-    filters = model.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("data"))
-    dealt = filters.unionByName(map_arrow(chunks.select("chunk", "text"), keyed, _KEYS)).repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket", "kind")
-    levels = map_arrow(dealt, probed, "chunk long, bucket long, levels binary")
+    filters = model.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("long").alias("part"), F.col("bits").alias("data"))
+    dealt = filters.unionByName(map_arrow(chunks.select("chunk", "at", "text"), keyed, _KEYS)).repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket", "kind")
+    levels = map_arrow(dealt, probed, "chunk long, at long, bucket long, levels binary")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        now: tuple | None = None
+        texts: list[pa.RecordBatch] = []
+        levels: dict[int, list[bytes]] = {}
+        now = None
         rid = TaskContext.get().partitionId() << 33
 
-        def closed() -> pa.RecordBatch:
+        def closed() -> Iterator[pa.RecordBatch]:
             nonlocal rid
-            ids, held_out, texts = now
-            rids = np.arange(rid, rid + len(ids))
-            rid += len(ids)
-            w = whole(texts)
-            keys, _ = distinct(w)
-            found = np.frombuffer(b"".join(held), np.uint8).astype(np.int64)
-            order = np.argsort(keys)
-            keys, found = keys[order], found[order]
-            held.clear()
-            part = pa.RecordBatch.from_arrays([ids, held_out], ["doc_id", "held_out"])
-            return _scored(rids, part, w, lambda some: found[np.searchsorted(keys, some)], known.value, p)
+            rows = pa.Table.from_batches(texts).combine_chunks().to_batches()[0]
+            texts.clear()
+            for first, end in pairwise([*levels, rows.num_rows]):
+                part = rows.slice(first, end - first)
+                keys, _ = by_bucket(list(some_keys(part.column(2))))
+                order = np.argsort(keys)
+                keys, found = keys[order], np.frombuffer(b"".join(levels[first]), np.uint8)[order]
+                for lo, hi, w in gathered(words(part.column(2)), _PIECE):
+                    yield _scored(np.arange(rid, rid + hi - lo), part.slice(lo, hi - lo), w, lambda some: found[np.searchsorted(keys, some)].astype(np.int64), known.value, p)  # noqa: B023
+                    rid += hi - lo
+            levels.clear()
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(1)[i].as_py() is None:
-                    if now is not None:
-                        yield closed()
-                    now = tuple(batch.column(c)[i].values for c in (3, 4, 5))
+            c, kind = (batch.column(i).to_numpy() for i in (0, 1))
+            for lo, hi in _runs(c, kind, np.arange(len(c))) if len(c) else ():
+                if c[lo] != now:
+                    if texts:
+                        yield from closed()
+                    now = c[lo]
+                if kind[lo] == 0:
+                    texts.append(batch.select(["doc_id", "held_out", "text"]).slice(lo, hi - lo))
                 else:
-                    held.append(batch.column(2)[i].as_buffer().to_pybytes())
-        if now is not None:
-            yield closed()
-
-    empty = [F.lit(None).cast(k).alias(n) for n, k in (x.split() for x in _CHUNK.split(", ")[1:])]
-    back = levels.select("chunk", "bucket", "levels", *empty)
-    own = chunks.select("chunk", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("levels"), "doc_id", "held_out", "text")
-    # a chunk's own row comes first, then its levels by bucket
-    met = own.unionByName(back).repartition(tasks, "chunk").sortWithinPartitions("chunk", F.asc_nulls_first("bucket"))
+                    for i in range(lo, hi):
+                        levels.setdefault(batch.column(2)[i].as_py(), []).append(batch.column(4)[i].as_buffer().to_pybytes())
+        if texts:
+            yield from closed()
+
+    back = levels.select("chunk", F.lit(1).alias("kind"), "at", "bucket", "levels", *[F.lit(None).cast(k).alias(n) for n, k in (("doc_id", "long"), ("held_out", "boolean"), ("text", "string"))])
+    own = chunks.select("chunk", F.lit(0).alias("kind"), "at", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("levels"), "doc_id", "held_out", "text")
+    # a chunk's texts come first, then the levels of its parts by bucket
+    met = own.unionByName(back).repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "at", "bucket")
     out = materialise(map_arrow(met, scored, _SCORED), "scored")
     drop(chunks)
     return out
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of _BATCH bytes at most, or of one row: their buffers lie outside the JVM's heap, several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, _BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def score(docs: DataFrame, trained_on: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, held_out (as given), n_tokens, n_known, train_tokens, base_score, score of all docs (doc_id, text, held_out).
 
     trained_on: rows with text, all of which are learned from."""
+    with _small_batches(docs.sparkSession):  # the result is lazy, but has no Python in it
+        return _score(docs, trained_on, p)
+
+
+def _score(docs: DataFrame, trained_on: DataFrame, p: Params) -> DataFrame:
     spark = docs.sparkSession
     size = trained_on.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -408,3 +408,26 @@ def test_lm_without_training_or_rows(spark):
     dealt = lm_bloom.score(df, df.limit(0), lm_bloom.Params(most_bytes=-1)).orderBy("doc_id").collect()
     assert [(x["n_tokens"], x["n_known"], x["base_score"]) for x in dealt] == [(3, 0, 0.0), (1, 0, 0.0)]
     assert lm_bloom.score(df.limit(0), df, lm_bloom.Params(most_bytes=-1)).count() == 0
+
+
+def test_rows_of_dealt_texts_stay_small(spark, monkeypatch):
+    """Rows are texts and not chunks, Arrow batches are small, and a chunk that is read in several tasks is probed in parts."""
+    real, seen, name = lm_bloom.materialise, {}, "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(lm_bloom, "materialise", lambda df, what: seen.setdefault(what, (real(df, what), spark.conf.get(name)))[0])
+    before = spark.conf.get(name)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", lm_bloom.held_out(F.col("doc_id")).alias("held_out"))
+    order = lambda df: sorted(map(tuple, df.collect()))
+    one = order(lm_bloom.score(docs, docs.where("not held_out")))
+    held, hadoop = docs.coalesce(1), spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "40000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1000)
+    try:
+        two = order(lm_bloom.score(held, held.where("not held_out"), lm_bloom.Params(most_bytes=0)))
+    finally:
+        hadoop.unset("parquet.block.size")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert two == [(*r[:5], pytest.approx(r[5]), pytest.approx(r[6])) for r in one]
+    assert dict(seen["chunks"][0].dtypes)["text"] == "string"
+    assert {int(x.removesuffix("b")) for _, x in seen.values()} == {lm_bloom._BATCH} and spark.conf.get(name) == before
