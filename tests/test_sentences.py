@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from glossweave.operators import near_texts, redundancy
 from glossweave.plans import queries
 
 
@@ -112,3 +113,33 @@ def test_full_scan_counts_near_duplicates(spark, tmp_path):
     [row] = queries.scan_summary(spark, str(tmp_path)).collect()
     assert (row["fuzzy_keys"], row["fuzzy_groups"], row["redundant_keys"], row["redundant_percent"]) == (5, 1, 5, 62.5)
     assert row["duplicate_or_variant_keys"] == 4
+
+
+def test_near_edges_write_few_pairs(spark, corpus, monkeypatch):
+    """The edges of the plain operators, from a small part of their pairs; shuffled files go, whole or in slices of the features."""
+    from pyspark.sql import functions as F
+
+    folder, _ = corpus
+    real, rows = near_texts.written, {}
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_texts, "written", counted)
+    odd = ["𝒳𝒴 naïve 𝒵𝒲", "𝒳𝒴 naïve 𝒵𝒲s", "12 alpha 34", "13 alpha 35", "aaa", "aab", "a b c", "été été", "été étés"] + ["lang" * 45 + "x" * i for i in range(6)]
+    own = queries.sentence_nodes(spark, folder).unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(odd)], "node long, norm string").select(F.col("norm"), F.col("node")))
+    own = real(own, "nodes")
+    plain = redundancy.candidate_pairs(real(redundancy.postings(own), "postings"))
+    order = lambda df: sorted(map(tuple, df.collect()))
+    want = order(redundancy.fuzzy_edges(own, plain))
+    assert len(want) > 30
+    assert order(near_texts.near_edges(own)) == want
+    assert rows["near"] < 0.1 * plain.count()
+    monkeypatch.setattr(near_texts, "SLICE", 200)
+    monkeypatch.setattr(near_texts, "LOT", max(1, rows["near"] // 3))
+    monkeypatch.setattr(near_texts, "_BLOCK", 7)
+    monkeypatch.setattr(near_texts, "_PAIRS", 50)
+    assert order(near_texts.near_edges(own)) == want
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
